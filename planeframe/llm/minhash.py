@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from planeframe.llm import textkernel as K
 from planeframe.llm.common import materialize, maybe_broadcast, narrow
-from planeframe.llm.graph import components
+from planeframe.llm.graph import components, joined
 
-COORDS, TREES, SMALL, FIRST_DEPTH, DEPTH, FORESTS, LEADERS = 128, 16, 256, 2, 14, 3, 4
+COORDS, TREES, SMALL, FIRST_DEPTH, DEPTH, FORESTS, LEADERS = 128, 14, 512, 2, 14, 3, 4
 #: Share of tokens that two sketches must have in common to be confirmed on the full sets: 3 standard
-#: deviations below 0.8. With it, 16 trees of depth 2 miss a pair of similarity 0.8 about once in 1,000.
+#: deviations below 0.8. With it, the trees miss a pair of similarity 0.8 about once in 1,000.
 LIKELY = 0.695
 
 _rng = np.random.default_rng(20240521)
@@ -134,8 +134,16 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(batch.column(1), node, at)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), COORDS)
+def _matrix(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), COORDS)
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rep, n, sk) in; also tokens of 8 bits out, which are enough to compare."""
+    for batch in batches:
+        if batch.num_rows:
+            short = _matrix(batch.column(3)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in short], pa.binary())], ["key", "rep", "n", "sk", "short"])
 
 
 def likely_pairs(sk: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,11 +190,12 @@ def forests(m: int, i: np.ndarray, j: np.ndarray, same: np.ndarray, k: int = FOR
 
 
 def _compare(percent: int, across: bool):
-    """Batches sorted by node in; likely pairs (a < b) of each node out."""
+    """Batches sorted by node in. Out: the pairs (a < b) of each node's forests; or, across labels, all likely
+    pairs, as rows (u, partners) where u is the end whose label has fewer members in the node."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
-        out: set = set()
+        out: set | list = [] if across else set()
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if kept is None else pa.concat_tables([kept, table])
@@ -199,11 +208,11 @@ def _compare(percent: int, across: bool):
             if last:
                 _groups(table.slice(0, last), np.concatenate([[0], edge]), percent, across, out)
             if len(out) > 100_000:
-                yield _pairs(out)
-                out = set()
+                yield _pairs(out, across)
+                out.clear()
         if kept is not None and kept.num_rows:
             _groups(kept, np.array([0, kept.num_rows]), percent, across, out)
-        yield _pairs(out)
+        yield _pairs(out, across)
 
     return work
 
@@ -211,7 +220,7 @@ def _compare(percent: int, across: bool):
 def _groups(table: pa.Table, edges: np.ndarray, percent: int, across: bool, out: set) -> None:
     size = np.diff(edges)
     rep, n, label = (table.column(c).to_numpy() for c in (1, 2, 4))
-    sk = _matrix(table.column(3).combine_chunks() if table.column(3).num_chunks != 1 else table.column(3).chunk(0))
+    sk = _matrix(table.column(3), np.uint8)
     twos = edges[:-1][size == 2]
     same = (sk[twos] == sk[twos + 1]).sum(1)  # most nodes: all at once
     for g in np.concatenate([np.flatnonzero(size > 2), np.flatnonzero(size == 2)[same >= LIKELY * COORDS]]).tolist():
@@ -220,15 +229,28 @@ def _groups(table: pa.Table, edges: np.ndarray, percent: int, across: bool, out:
         i, j = i + a, j + a
         ok = (label[i] != label[j]) & (rep[i] != rep[j])
         i, j, same = i[ok], j[ok], same[ok]
-        if len(i) > 1 and not across:
+        if not len(i):
+            continue
+        if across:
+            _, at, times = np.unique(label[a:b], return_inverse=True, return_counts=True)
+            few = times[at]
+            swap = few[i - a] > few[j - a]
+            u, p = rep[np.where(swap, j, i)], rep[np.where(swap, i, j)]
+            order = np.argsort(u, kind="stable")
+            edge = np.flatnonzero(np.diff(u[order])) + 1
+            out += [(int(u[x[0]]), p[x]) for x in np.split(order, edge)]
+            continue
+        if len(i) > 1:
             keep = forests(b - a, i - a, j - a, same)
             i, j = i[keep], j[keep]
         x, y = rep[i], rep[j]
         out.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
 
 
-def _pairs(out: set) -> pa.RecordBatch:
+def _pairs(out: set | list, across: bool) -> pa.RecordBatch:
     a, b = zip(*out) if out else ((), ())
+    if across:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64()))], ["u", "partners"])
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -266,10 +288,15 @@ def candidates(nodes: DataFrame, vertices: DataFrame, percent: int, labels: Data
         nodes = nodes.join(mixed, "node", "left_semi")
     else:
         nodes = nodes.withColumn("label", F.col("rep"))
-    members = nodes.join(vertices.select("rep", "n", "sk"), "rep").select("node", "rep", "n", "sk", "label")
+    members = nodes.join(vertices.select("rep", "n", "short"), "rep").select("node", "rep", "n", "short", "label")
     # nodes are small: a task holds one at a time, and hashing them spreads the rows evenly
     dealt = members.repartition("node").sortWithinPartitions("node", "rep")
-    return dealt.mapInArrow(_compare(percent, labels is not None), "a bigint, b bigint").distinct()
+    if labels is None:
+        return dealt.mapInArrow(_compare(percent, False), "a bigint, b bigint").distinct()
+    # at most TREES * SMALL partners each, once for each tree until here
+    partners = dealt.mapInArrow(_compare(percent, True), "u bigint, partners array<bigint>")
+    each = partners.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+    return each.select("u", F.explode("partners").alias("p")).select(F.least("u", "p").alias("a"), F.greatest("u", "p").alias("b")).distinct()
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
@@ -328,9 +355,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     prints = materialize(fingerprints(docs, k), "prints")
     full = prints.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     # one row for each distinct set: copies meet here, summed up before the shuffle
-    reps = materialize(full.groupBy("key").agg(F.min("doc_id").alias("rep")), "reps")
-    sketches = full.join(reps, (full["key"] == reps["key"]) & (full["doc_id"] == reps["rep"]))
-    vertices = materialize(sketches.select(reps["key"], "rep", "n", "sk").dropDuplicates(["rep", "key"]), "vertices")
+    least = full.groupBy("key").agg(F.min(F.struct("doc_id", "n", "sk")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.n", "x.sk")
+    vertices = materialize(least.mapInArrow(_shortened, "key binary, rep bigint, n bigint, sk binary, short binary"), "vertices")
     nodes = small_nodes(vertices)
     pairs = materialize(candidates(nodes, vertices, percent), "pairs")
     links = materialize(confirmed(docs, pairs, k, percent), "links")
@@ -338,8 +364,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # likely pairs that would still join two components, beyond those that were looked at
     more = materialize(candidates(nodes, vertices, percent, found).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        found = components(links.union(confirmed(docs, more, k, percent)))
-    labels = reps.join(found, reps["rep"] == found["v"], "left").select("key", F.coalesce("label", "rep").alias("component_id"))
+        found = joined(vertices.select(F.col("rep").alias("v")), found, confirmed(docs, more, k, percent))
+    labels = vertices.join(found, vertices["rep"] == found["v"], "left").select("key", F.coalesce("label", "rep").alias("component_id"))
     out = prints.select("doc_id", F.col("n").alias("n_shingles"), "key").join(labels, "key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(
