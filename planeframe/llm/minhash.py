@@ -7,8 +7,8 @@ exhaustively; larger ones are branched again, in rounds, and only their members
 after DEPTH tokens is cut into blocks, each with the node's leaders in it, and the blocks are compared.
 
 Comparing a node yields FORESTS edge-disjoint spanning forests of its likely pairs, most similar first, so
-that every way to part the node keeps its FORESTS best links: the components come out whole, but the pairs
-grow with the members and not with their square. Each of those pairs is then confirmed on the full sets. At
+that every way to part the node keeps its FORESTS best links, and the pairs grow with the members and not
+with their square. Each of those pairs is then confirmed on the full sets. At
 last, likely pairs between what are still different components are confirmed too.
 """
 
@@ -25,7 +25,7 @@ from planeframe.llm import textkernel as K
 from planeframe.llm.common import materialize, maybe_broadcast, narrow
 from planeframe.llm.graph import components, joined
 
-COORDS, TREES, SMALL, FIRST_DEPTH, DEPTH, FORESTS, LEADERS = 128, 14, 512, 2, 14, 3, 4
+COORDS, TREES, SMALL, FIRST_DEPTH, DEPTH, FORESTS, LEADERS = 128, 14, 512, 2, 14, 1, 4
 #: Share of tokens that two sketches must have in common to be confirmed on the full sets: 3 standard
 #: deviations below 0.8. With it, the trees miss a pair of similarity 0.8 about once in 1,000.
 LIKELY = 0.695
