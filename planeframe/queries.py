@@ -1,6 +1,508 @@
-"""The engine's operators over the driver's tables, with SQL that says the same."""
+"""The engine's operators over the driver's tables, with SQL that says the same.
+
+embeddings give 8 x 8 blocks of 10-bit samples, events give frames for each user, orders a sample table.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from planeframe import tables as T
+from planeframe.functions import scalar
+from planeframe.operators import block, control, index, metric, sample
+from planeframe.streaming import gop
+
+QP = 84
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """blk, label, s: 64 samples of 10 bits."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("blk"), F.col("label").cast("bigint").alias("label"), "embedding")
+    return block.held(e, "s", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 512).cast("bigint"))).drop("embedding")
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block.level_shift(samples(spark, sf_dir), F.col("s")).drop("s")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, event_id, ts, event_type, size: events as frames of a user's sequence."""
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", (F.floor(F.abs("value")) + 1).cast("bigint").alias("size"))
+
+
+# ---- SQL building blocks ------------------------------------------------------------------------------------
+
+_X = "x AS (SELECT vec_id AS blk, CAST(label AS BIGINT) AS label, CAST(i - 1 AS BIGINT) AS i, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1) * 512) AS BIGINT) AS s FROM embeddings, range(1, 65) t(i))"
+_M = "m(u, k, c) AS (VALUES " + ", ".join(f"({u}, {k}, {T.M[u][k]})" for u in range(8) for k in range(8)) + ")"
+_F = f"""{_X}, {_M},
+p AS (SELECT x.blk, x.label, x.i // 8 AS y, m.u AS v, sum((x.s - 512) * m.c) AS a FROM x JOIN m ON m.k = x.i % 8 GROUP BY ALL),
+f AS (SELECT p.blk, p.label, CAST(m.u * 8 + p.v AS BIGINT) AS i, CAST(sum(p.a * m.c) AS BIGINT) AS c FROM p JOIN m ON m.k = p.y GROUP BY ALL)"""
+
+
+def _q(qp: int) -> str:
+    q = T.flat_step(qp)
+    return f"""q AS (SELECT blk, label, i, CAST(sign(c) * CASE WHEN least(abs(c), {T.MAX_COEFFICIENT}) + {q >> 1} > CASE WHEN i = 0 THEN 0 ELSE {q >> 2} END
+  THEN (least(abs(c), {T.MAX_COEFFICIENT}) + {q >> 1} - CASE WHEN i = 0 THEN 0 ELSE {q >> 2} END) // {q} ELSE 0 END AS BIGINT) AS c FROM f)"""
+
+
+_Z = "z(pos, i) AS (VALUES " + ", ".join(f"({p}, {i})" for p, i in enumerate(T.zigzag())) + ")"
+_S = "s AS (SELECT q.blk, q.label, CAST(z.pos AS BIGINT) AS i, q.c FROM q JOIN z ON z.i = q.i)"
+_RL = """rl AS (SELECT blk, label, i, CAST(i - coalesce(lag(i) OVER (PARTITION BY blk ORDER BY i), 0) - 1 AS BIGINT) AS run, c AS level FROM s WHERE i > 0 AND c <> 0)"""
+_ROUND32 = "CAST(sign(a) * ((abs(a) + 2147483648) // 4294967296) AS BIGINT)"
+
+_FR = "fr AS (SELECT user_id, event_id, ts, event_type, CAST(floor(abs(value)) + 1 AS BIGINT) AS size FROM events)"
+
+# ---- blocks -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_X} SELECT blk, i, s - 512 AS c FROM x")
+def blk_levelshift(spark, sf_dir):
+    return block.long_form(blocks(spark, sf_dir), "blk")
+
+
+@query(f"WITH {_F} SELECT blk, i, c FROM f")
+def blk_forward8x8(spark, sf_dir):
+    return block.long_form(block.forward(blocks(spark, sf_dir)), "blk")
+
+
+@query(f"WITH {_X} SELECT blk, i, s - 512 AS c FROM x")
+def blk_inverse8x8(spark, sf_dir):
+    """The inverse of the forward transform is the identity at 10 bits."""
+    return block.long_form(block.inverse(block.forward(blocks(spark, sf_dir))), "blk")
+
+
+@query(f"WITH {_F}, {_q(QP)} SELECT blk, i, c FROM q")
+def blk_quant(spark, sf_dir):
+    return block.long_form(block.quantise(block.forward(blocks(spark, sf_dir)), QP), "blk")
+
+
+@query(f"WITH {_F}, {_q(QP)} SELECT f.label, CAST(max(abs(f.c - q.c * {T.flat_step(QP)})) AS BIGINT) AS max_err, CAST(sum(abs(f.c - q.c * {T.flat_step(QP)})) AS BIGINT) AS sum_err FROM f JOIN q USING (blk, i) GROUP BY f.label")
+def blk_dequant_error(spark, sf_dir):
+    f = block.forward(blocks(spark, sf_dir))
+    both = block.dequantise(block.quantise(f.withColumn("was", F.col("coef")), QP), QP)
+    err = F.zip_with("was", "coef", lambda a, b: F.abs(a - b))
+    both = both.select("label", F.array_max(err).alias("m"), F.aggregate(err, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("s"))
+    return both.groupBy("label").agg(F.max("m").alias("max_err"), F.sum("s").alias("sum_err"))
+
+
+@query(f"""WITH {_F}, {_q(QP)}, w(u, c) AS (VALUES {", ".join(f"({u}, {T.E[u]})" for u in range(8))}),
+d AS (SELECT q.blk, q.i, q.c * {T.flat_step(QP)} * ((4294967296 + a.c * b.c // 2) // (a.c * b.c)) AS c FROM q JOIN w a ON a.u = q.i // 8 JOIN w b ON b.u = q.i % 8),
+p2 AS (SELECT d.blk, d.i // 8 AS u, m.k AS xx, sum(d.c * m.c) AS a FROM d JOIN m ON m.u = d.i % 8 GROUP BY ALL),
+r AS (SELECT p2.blk, CAST(m.k * 8 + p2.xx AS BIGINT) AS i, sum(p2.a * m.c) AS a FROM p2 JOIN m ON m.u = p2.u GROUP BY ALL)
+SELECT blk, i, {_ROUND32} AS c FROM r""")
+def blk_decode(spark, sf_dir):
+    """Transform, quantise, dequantise, transform back."""
+    q = block.quantise(block.forward(blocks(spark, sf_dir)), QP)
+    return block.long_form(block.inverse(block.dequantise(q, QP)), "blk")
+
+
+@query(f"WITH {_F}, {_q(QP)}, {_Z}, {_S} SELECT blk, i, c FROM s")
+def blk_zigzag(spark, sf_dir):
+    return block.long_form(block.scan(block.quantise(block.forward(blocks(spark, sf_dir)), QP)), "blk")
+
+
+def _scanned(spark, sf_dir):
+    return block.run_level(block.scan(block.quantise(block.forward(blocks(spark, sf_dir)), QP)))
+
+
+@query(f"WITH {_F}, {_q(QP)}, {_Z}, {_S}, {_RL} SELECT blk, CAST(row_number() OVER (PARTITION BY blk ORDER BY i) - 1 AS BIGINT) AS at, run, level FROM rl")
+def blk_runlevel(spark, sf_dir):
+    return _scanned(spark, sf_dir).select("blk", F.posexplode("pairs").alias("at", "p")).select("blk", F.col("at").cast("bigint").alias("at"), "p.run", "p.level")
+
+
+_RICE = f"""lv AS (SELECT label, CASE WHEN level >= 0 THEN 2 * level ELSE -2 * level - 1 END AS m FROM rl),
+k AS (SELECT label, CAST(sum(m) AS BIGINT) AS total, count(*) AS n, CAST(CASE WHEN sum(m) // count(*) < 1 THEN 0 ELSE least(14, floor(log2(sum(m) // count(*)) + 1e-9)) END AS BIGINT) AS k FROM lv GROUP BY label)
+SELECT k.label, k.n, k.k, CAST(sum(CASE WHEN lv.m // CAST(pow(2, k.k) AS BIGINT) <= 30 THEN lv.m // CAST(pow(2, k.k) AS BIGINT) + 1 + k.k ELSE 63 END) AS BIGINT) AS bits FROM lv JOIN k USING (label) GROUP BY k.label, k.n, k.k"""
+
+
+@query(f"WITH {_F}, {_q(QP)}, {_Z}, {_S}, {_RL}, {_RICE}")
+def blk_rice_bits_by_label(spark, sf_dir):
+    """Rice parameter and exact bits of the levels of each label's blocks."""
+    levels = _scanned(spark, sf_dir).select("label", F.explode("pairs").alias("p")).select("label", block.fold(F.col("p.level")).alias("m"))
+    counts = levels.groupBy("label", "m").agg(F.count("*").alias("n"))  # a histogram: small, and summed up before it moves
+    total = counts.groupBy("label").agg(F.sum(F.col("m") * F.col("n")).alias("total"), F.sum("n").alias("all"))
+    ks = total.select("label", F.col("all"), block.rice_k(F.col("total"), F.col("all")).alias("k"))
+    return counts.join(ks, "label").groupBy("label", F.col("all").alias("n0"), "k").agg(F.sum(F.col("n") * block.rice_bits(F.col("m"), F.col("k"))).alias("bits")).select("label", F.col("n0").alias("n"), "k", "bits")
+
+
+@query(f"""WITH {_F}, {_q(QP)}, d AS (SELECT blk // 20 AS slice, blk % 5 AS bx, (blk // 5) % 4 AS yy, c AS dc, blk FROM q WHERE i = 0),
+n AS (SELECT blk, dc, lag(dc) OVER (PARTITION BY slice, yy ORDER BY bx) AS l, lag(dc) OVER (PARTITION BY slice, bx ORDER BY yy) AS t FROM d)
+SELECT blk, dc, CAST(CASE WHEN l IS NULL AND t IS NULL THEN 0 WHEN t IS NULL THEN l WHEN l IS NULL THEN t ELSE floor((l + t + 1) / 2.0) END AS BIGINT) AS pred FROM n""")
+def blk_dc_predict(spark, sf_dir):
+    d = block.quantise(block.forward(blocks(spark, sf_dir)), QP).select("blk", F.get("coef", F.lit(0)).alias("dc"))
+    d = d.withColumn("slice", F.floor(F.col("blk") / 20)).withColumn("bx", F.col("blk") % 5).withColumn("by", F.floor(F.col("blk") / 5) % 4)
+    left, top = F.lag("dc").over(Window.partitionBy("slice", "by").orderBy("bx")), F.lag("dc").over(Window.partitionBy("slice", "bx").orderBy("by"))
+    d = d.withColumn("l", left).withColumn("t", top)
+    pred = F.when(F.col("l").isNull() & F.col("t").isNull(), 0).when(F.col("t").isNull(), F.col("l")).when(F.col("l").isNull(), F.col("t")).otherwise(F.floor((F.col("l") + F.col("t") + 1) / 2))
+    return d.select("blk", "dc", pred.cast("bigint").alias("pred"))
+
+
+@query(f"""WITH {_F}, qps AS (SELECT qp FROM (VALUES {", ".join(f"({q}, {T.flat_step(q)})" for q in range(72, 92))}) t(qp, step)),
+st(qp, step) AS (VALUES {", ".join(f"({q}, {T.flat_step(q)})" for q in range(72, 92))}),
+b AS (SELECT f.blk, st.qp, sum(CASE WHEN f.i > 0 AND abs(f.c) + st.step // 2 - st.step // 4 >= st.step THEN 2 + 2 * floor(log2((abs(f.c) + st.step // 2 - st.step // 4) // st.step) + 1e-9) ELSE 0 END) AS bits FROM f, st GROUP BY ALL)
+SELECT blk, CAST(coalesce(min(qp) FILTER (bits <= 64), 91) AS BIGINT) AS qp FROM b GROUP BY blk""")
+def sized_search(spark, sf_dir):
+    """The smallest qp whose levels take 64 bits at most, at 2 * bit length a level."""
+    f = block.forward(blocks(spark, sf_dir))
+    costs = None
+    grid = F.array(*[F.struct(F.lit(q).cast("bigint").alias("qp"), F.lit(T.flat_step(q)).cast("bigint").alias("step")) for q in range(72, 92)])
+    each = f.select("blk", "coef", F.explode(grid).alias("g")).select("blk", "coef", "g.*")
+
+    def bits(c, i):
+        size = F.floor((F.abs(c) + F.floor(F.col("step") / 2) - F.floor(F.col("step") / 4)) / F.col("step"))
+        return F.when((i > 0) & (size >= 1), scalar.bit_length(size) * 2).otherwise(F.lit(0)).cast("bigint")
+
+    costs = each.select("blk", "qp", F.aggregate(F.transform("coef", bits), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("bytes"))
+    return control.sized_search(costs, ["blk"], F.lit(64), 91)
+
+
+# ---- samples ------------------------------------------------------------------------------------------------
+
+
+def _long(df, col):
+    return df.select("blk", F.posexplode(col).alias("i", "c")).select("blk", F.col("i").cast("bigint").alias("i"), F.col("c").cast("bigint").alias("c"))
+
+
+@query(f"WITH {_X} SELECT blk, i // 2 AS i, CAST((sum(s) + 1) // 2 AS BIGINT) AS c FROM x GROUP BY ALL")
+def sub422(spark, sf_dir):
+    return _long(samples(spark, sf_dir), sample.pairs_422(F.col("s")))
+
+
+@query(f"""WITH {_X}, d AS (SELECT range AS d FROM range(3)), r AS (SELECT blk, i // 8 AS y, i % 8 AS k, s FROM x),
+o AS (SELECT r.blk, r.y, d.d, r.s, least((d.d + 1) * 8, (r.k + 1) * 3) - greatest(d.d * 8, r.k * 3) AS w FROM r, d)
+SELECT blk, CAST(y * 3 + d AS BIGINT) AS i, CAST((sum(s * w) + 4) // 8 AS BIGINT) AS c FROM o WHERE w > 0 GROUP BY blk, y, d""")
+def area_down(spark, sf_dir):
+    rows = samples(spark, sf_dir).select("blk", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), "s").withColumn("row", F.slice("s", F.col("y") * 8 + 1, F.lit(8)))
+    out = rows.select("blk", "y", F.posexplode(sample.area_down(F.col("row"), 8, 3)).alias("d", "c"))
+    return out.select("blk", (F.col("y") * 3 + F.col("d")).cast("bigint").alias("i"), "c")
+
+
+@query(f"""WITH {_X}, d AS (SELECT range AS d FROM range(12)), r AS (SELECT blk, i // 8 AS y, i % 8 AS k, s FROM x),
+g AS (SELECT d, greatest(0, ((2 * d + 1) * 8 - 12)) AS num FROM d),
+h AS (SELECT d, least(7, num // 24) AS l, CASE WHEN num // 24 >= 7 THEN 0 ELSE num % 24 END AS fr FROM g)
+SELECT a.blk, CAST(a.y * 12 + h.d AS BIGINT) AS i, CAST((a.s * (24 - h.fr) + b.s * h.fr + 12) // 24 AS BIGINT) AS c FROM h JOIN r a ON a.k = h.l JOIN r b ON b.blk = a.blk AND b.y = a.y AND b.k = least(7, h.l + 1)""")
+def bilinear_up(spark, sf_dir):
+    rows = samples(spark, sf_dir).select("blk", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), "s").withColumn("row", F.slice("s", F.col("y") * 8 + 1, F.lit(8)))
+    out = rows.select("blk", "y", F.posexplode(sample.bilinear_up(F.col("row"), 8, 12)).alias("d", "c"))
+    return out.select("blk", (F.col("y") * 12 + F.col("d")).cast("bigint").alias("i"), "c")
+
+
+@query(f"""WITH {_X}, d AS (SELECT e.blk, e.i // 2 AS j, CAST(o.s - floor((e.s + coalesce(n.s, e.s)) / 2.0) AS BIGINT) AS d, e.s FROM x e JOIN x o ON o.blk = e.blk AND o.i = e.i + 1 LEFT JOIN x n ON n.blk = e.blk AND n.i = e.i + 2 WHERE e.i % 2 = 0)
+SELECT blk, j, d, CAST(s + floor((coalesce(lag(d) OVER (PARTITION BY blk ORDER BY j), 0) + d + 2) / 4.0) AS BIGINT) AS low FROM d""")
+def lift_analyse(spark, sf_dir):
+    low, detail = sample.lift2(F.col("s"))
+    both = samples(spark, sf_dir).select("blk", detail.alias("d"), low.alias("low"))
+    zipped = both.select("blk", F.posexplode(F.arrays_zip("d", "low")).alias("j", "x"))
+    return zipped.select("blk", F.col("j").cast("bigint").alias("j"), F.col("x.d").alias("d"), F.col("x.low").alias("low"))
+
+
+@query(f"WITH {_X} SELECT blk, i, s AS c FROM x WHERE i < 63")
+def lift_roundtrip(spark, sf_dir):
+    """Analysis and synthesis of 63 samples (an odd length) give them back."""
+    short = block.held(samples(spark, sf_dir), "s", F.slice("s", 1, 63))
+    low, detail = sample.lift2(F.col("s"))
+    bands = block.held(block.held(short, "low", low), "d", detail)
+    even = block.held(bands, "even", sample.unlift2_even(F.col("low"), F.col("d")))
+    return _long(even, sample.unlift2(F.col("even"), F.col("d")))
+
+
+@query(f"""WITH {_X}, g AS (SELECT a.blk, a.i // 3 AS j, a.s - b.s AS d0, c.s - b.s AS d1, b.s FROM x a JOIN x b ON b.blk = a.blk AND b.i = a.i + 1 JOIN x c ON c.blk = a.blk AND c.i = a.i + 2 WHERE a.i % 3 = 0)
+SELECT blk, j, d0, d1, CAST(s + floor((d0 + d1 + 1) / 3.0) AS BIGINT) AS low FROM g""")
+def lift3_analyse(spark, sf_dir):
+    groups = samples(spark, sf_dir).select("blk", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("j"), "s")
+    low, d0, d1 = sample.lift3(*(F.get("s", F.col("j") * 3 + i) for i in range(3)))
+    return groups.select("blk", F.col("j").cast("bigint").alias("j"), d0.alias("d0"), d1.alias("d1"), low.alias("low"))
+
+
+@query(f"""WITH {_X}, n AS (SELECT blk, i, s, lag(s) OVER (PARTITION BY blk, i // 8 ORDER BY i) AS l, lag(s, 8) OVER (PARTITION BY blk ORDER BY i) AS t FROM x),
+c AS (SELECT *, lag(t) OVER (PARTITION BY blk, i // 8 ORDER BY i) AS c FROM n),
+p AS (SELECT blk, i, s, CAST(CASE WHEN l IS NULL AND t IS NULL THEN 0 WHEN t IS NULL THEN l WHEN l IS NULL THEN t WHEN c >= greatest(l, t) THEN least(l, t) WHEN c <= least(l, t) THEN greatest(l, t) ELSE l + t - c END AS BIGINT) AS pred FROM c)
+SELECT blk, i, pred, s - pred AS resid FROM p""")
+def alpha_med(spark, sf_dir):
+    df = _long(samples(spark, sf_dir), F.col("s")).withColumn("y", F.floor(F.col("i") / 8)).withColumn("x", F.col("i") % 8)
+    return sample.med_residual(df, ["blk"], "y", "x", "c").select("blk", "i", "pred", "resid")
+
+
+@query(f"WITH {_X} SELECT blk, i, CAST(least((s * 64 + 128) // 256 * 256, 65280) AS BIGINT) AS c FROM x")
+def alpha_quant8(spark, sf_dir):
+    return _long(samples(spark, sf_dir), F.transform("s", lambda v: sample.alpha_quantise(v * 64, 8)))
+
+
+@query("SELECT CAST(h AS BIGINT) AS h, CAST(CASE WHEN h < 32768 THEN h + 32768 ELSE 32768 - (h & 32767) END AS BIGINT) AS code, CAST(CASE WHEN h = 32768 THEN 0 ELSE h END AS BIGINT) AS back FROM range(65536) t(h)")
+def half_map(spark, sf_dir):
+    df = spark.range(65536).select(F.col("id").alias("h")).withColumn("code", sample.half_to_code(F.col("h")))
+    return df.withColumn("back", sample.code_to_half(F.col("code")))
+
+
+@query(f"""WITH {_X}, r AS (SELECT a.blk, a.i, a.s - b.s AS d FROM x a JOIN x b ON b.blk = a.blk - 1 AND b.i = a.i)
+SELECT blk, CAST(sum(abs(d)) AS BIGINT) AS sad, CAST(count(*) FILTER (d <> 0) AS BIGINT) AS nonzero, CAST(sum(abs(d)) // 64 AS BIGINT) AS mad, sum(abs(d)) // 64 < 16 AS skip, CAST(sum(greatest(0, least(1023, d + 512))) AS BIGINT) AS resid FROM r GROUP BY blk""")
+def residual_mad(spark, sf_dir):
+    """Each vector's residual against the one before, with the gate that lets a P frame through."""
+    s = samples(spark, sf_dir)
+    both = s.select("blk", "s").join(s.select((F.col("blk") + 1).alias("blk"), F.col("s").alias("ref")), "blk")
+    diff = F.zip_with("s", "ref", lambda a, b: F.abs(a - b))
+    total = F.aggregate(diff, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    both = both.select("blk", total.alias("sad"), F.size(F.filter(diff, lambda d: d != 0)).cast("bigint").alias("nonzero"), F.aggregate(sample.residual(F.col("s"), F.col("ref"), 512), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("resid"))
+    mad = F.floor(F.col("sad") / 64).cast("bigint")
+    return both.select("blk", "sad", "nonzero", mad.alias("mad"), (mad < 16).alias("skip"), "resid")
+
+
+@query("""WITH p AS (SELECT range AS id, CAST(CAST(range % 64 AS FLOAT) / CAST(63 AS FLOAT) AS FLOAT) AS r, CAST(CAST((range // 64) % 64 AS FLOAT) / CAST(63 AS FLOAT) AS FLOAT) AS g, CAST(CAST((range // 4096) % 48 AS FLOAT) / CAST(47 AS FLOAT) AS FLOAT) AS b FROM range(196608)),
+y AS (SELECT *, CAST(CAST(CAST(0.2126 AS FLOAT) * r + CAST(0.7152 AS FLOAT) * g AS FLOAT) + CAST(0.0722 AS FLOAT) * b AS FLOAT) AS yf FROM p)
+SELECT CAST(id AS BIGINT) AS id, CAST(greatest(least(round_even(CAST(yf * CAST(1023 AS FLOAT) AS FLOAT), 0), 1023), 0) AS BIGINT) AS y,
+CAST(greatest(least(round_even(CAST(CAST(CAST(CAST(b - yf AS FLOAT) / CAST(1.8556 AS FLOAT) AS FLOAT) * CAST(1023 AS FLOAT) AS FLOAT) + CAST(512 AS FLOAT) AS FLOAT), 0), 1023), 0) AS BIGINT) AS u,
+CAST(greatest(least(round_even(CAST(CAST(CAST(CAST(r - yf AS FLOAT) / CAST(1.5748 AS FLOAT) AS FLOAT) * CAST(1023 AS FLOAT) AS FLOAT) + CAST(512 AS FLOAT) AS FLOAT), 0), 1023), 0) AS BIGINT) AS v FROM y""")
+def rgb_to_yuv(spark, sf_dir):
+    f = lambda e, n: (F.expr(e).cast("float") / F.lit(n).cast("float")).cast("float")
+    df = spark.range(196608).select("id", f("id % 64", 63).alias("r"), f("(id div 64) % 64", 63).alias("g"), f("(id div 4096) % 48", 47).alias("b"))
+    return sample.rgb_to_yuv(df).select("id", "y", "u", "v")
+
+
+@query(f"WITH {_X} SELECT blk, i, CASE WHEN label = 3 THEN 512 ELSE s END AS c FROM x")
+def conceal_fill(spark, sf_dir):
+    return _long(samples(spark, sf_dir), sample.conceal(F.col("s"), F.col("label") == 3, 512))
+
+
+@query("SELECT p_partkey, CAST((p_size + 7) // 8 * 8 AS BIGINT) AS coded, CAST(CASE WHEN greatest(p_size, p_partkey % 40 + 1) <= 24 THEN p_size WHEN p_size >= p_partkey % 40 + 1 THEN 24 ELSE greatest(p_size * 24 // (p_partkey % 40 + 1), 1) END AS BIGINT) AS w, CAST(CASE WHEN greatest(p_size, p_partkey % 40 + 1) <= 24 THEN p_partkey % 40 + 1 WHEN p_partkey % 40 + 1 >= p_size THEN 24 ELSE greatest((p_partkey % 40 + 1) * 24 // p_size, 1) END AS BIGINT) AS h FROM part")
+def plane_dims(spark, sf_dir):
+    """Coded and fitted sizes of planes p_size wide."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("w0"), (F.col("p_partkey") % 40 + 1).alias("h0"))
+    w, h = sample.fit_dims(F.col("w0"), F.col("h0"), 24)
+    return p.select("p_partkey", sample.coded_dim(F.col("w0")).alias("coded"), w.alias("w"), h.alias("h"))
+
+
+@query("SELECT c_custkey, CAST(sign(round(c_acctbal * 100)) * ((abs(CAST(round(c_acctbal * 100) AS BIGINT)) + 128) // 257) AS BIGINT) AS q FROM customer")
+def symmetric_quant(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", sample.symmetric_quantise(F.round(F.col("c_acctbal") * 100).cast("bigint"), 257).alias("q"))
+
+
+# ---- metrics ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_X}, e AS (SELECT label, s - least(1023, (s + 8) // 16 * 16) AS d FROM x)
+SELECT label, count(*) AS n, round(CASE WHEN sum(d * d) <= 0 THEN 99.0 ELSE 10 * log10(1023.0 * 1023.0 / (sum(d * d) / count(*))) END, 6) AS psnr, round(CAST(sum(d) AS DOUBLE) / count(*), 6) AS drift FROM e GROUP BY label""")
+def psnr_by_label(spark, sf_dir):
+    d = samples(spark, sf_dir).select("label", F.explode("s").alias("s")).select("label", (F.col("s") - F.least(F.lit(1023), sample.floor_div(F.col("s") + 8, 16) * 16)).alias("d"))
+    sums = d.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("d") * F.col("d")).alias("sq"), F.sum("d").alias("sum"))
+    return sums.select("label", "n", F.round(metric.psnr(F.col("sq"), F.col("n"), 1023), 6).alias("psnr"), F.round(F.col("sum") / F.col("n"), 6).alias("drift"))
+
+
+@query(f"""WITH {_FR}, r AS (SELECT event_type, size, row_number() OVER (PARTITION BY event_type ORDER BY size, event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM fr)
+SELECT event_type, max(n) AS n, max(size) FILTER (k = n // 2) AS p50, max(size) FILTER (k = least((n * 95 + 99) // 100, n - 1)) AS p95, max(size) FILTER (k = least((n * 99 + 99) // 100, n - 1)) AS p99 FROM r GROUP BY event_type""")
+def nearest_rank_pct(spark, sf_dir):
+    return metric.nearest_rank(frames(spark, sf_dir), ["event_type"], "size", ["event_id"])
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL) SELECT user_id, CAST(sum(c) AS BIGINT) AS n, round(sum(c) * log2(sum(c)) - sum(c * log2(c)), 6) AS bits FROM c GROUP BY user_id""")
+def entropy_by_user(spark, sf_dir):
+    return metric.entropy_bits(frames(spark, sf_dir), ["user_id"], "event_type").withColumn("bits", F.round("bits", 6))
+
+
+@query("""WITH t AS (SELECT user_id, event_type, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '-') AS ctx FROM events),
+c AS (SELECT user_id, ctx, event_type, count(*) AS c FROM t GROUP BY ALL), b AS (SELECT user_id, ctx, sum(c) AS n, sum(c) * log2(sum(c)) - sum(c * log2(c)) AS bits FROM c GROUP BY ALL)
+SELECT user_id, CAST(sum(n) AS BIGINT) AS n, round(sum(bits), 6) AS bits FROM b GROUP BY user_id""")
+def cond_entropy(spark, sf_dir):
+    """Entropy given the previous symbol."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    t = frames(spark, sf_dir).withColumn("ctx", F.coalesce(F.lag("event_type").over(w), F.lit("-")))
+    b = metric.entropy_bits(t, ["user_id", "ctx"], "event_type")
+    return b.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum("bits"), 6).alias("bits"))
+
+
+@query("""WITH c AS (SELECT p_brand, p_size, count(*) AS n, avg(p_retailprice) AS a FROM part GROUP BY ALL),
+p AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS psnr, CAST(n AS DOUBLE) + p_size AS bpp FROM c),
+l AS (SELECT *, lead(psnr) OVER w AS p1, lead(bpp) OVER w AS b1, row_number() OVER w AS r FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY psnr, bpp)),
+k AS (SELECT *, psnr <= 25.5 AND 25.5 <= p1 AS ins, CASE WHEN psnr <= 25.5 AND 25.5 <= p1 THEN 0 ELSE least(abs(psnr - 25.5), abs(p1 - 25.5)) END AS far FROM l WHERE p1 IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY far, r) AS z FROM k)
+SELECT p_brand, round(pow(2, log2(bpp) + (25.5 - psnr) / (p1 - psnr) * (log2(b1) - log2(bpp))), 6) AS bpp, NOT ins AS extrapolated FROM o WHERE z = 1""")
+def rd_interp(spark, sf_dir):
+    c = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+    points = c.select("p_brand", F.col("p_size").cast("double").alias("psnr"), (F.col("n").cast("double") + F.col("p_size")).alias("bpp"))
+    return metric.rd_interpolate(points, ["p_brand"], 25.5).withColumn("bpp", F.round("bpp", 6))
+
+
+# ---- sample tables ------------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT user_id, event_type, ts, event_id, row_number() OVER w - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT user_id, event_type, g, count(*) AS n, min(ts) AS ts, min(event_id) AS e FROM t GROUP BY ALL)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, e) AS BIGINT) AS run, event_type, n FROM r""")
+def rle_runs(spark, sf_dir):
+    return index.runs(frames(spark, sf_dir), ["user_id"], ["ts", "event_id"], "event_type").withColumn("run", F.col("run").cast("bigint"))
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx FROM events)
+SELECT user_id, event_id, CAST(max(CASE WHEN event_type = 'signup' THEN idx END) OVER (PARTITION BY user_id ORDER BY idx) AS BIGINT) AS sync FROM o""")
+def prev_sync(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint"))
+    return f.select("user_id", "event_id", index.prev_sync("idx", F.col("event_type") == "signup", ["user_id"]).alias("sync"))
+
+
+@query("""SELECT o_orderkey, CAST(coalesce(sum(CAST(floor(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM orders""")
+def pts_prefix(spark, sf_dir):
+    """Each customer's orders as samples of a movie: offsets from sizes."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("bigint").alias("size"))
+    return o.select("o_orderkey", index.exclusive_sum("size", ["o_custkey"], ["o_orderkey"]).alias("off"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_partkey % 100 AS movie, l_orderkey AS off, CAST(floor(l_quantity) AS BIGINT) AS size FROM lineitem),
+r AS (SELECT DISTINCT o_custkey % 100 AS movie, o_orderkey // 50 * 50 AS lo, o_orderkey // 50 * 50 + 40 AS hi FROM orders)
+SELECT movie, off, size FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.movie = s.movie AND s.off >= r.lo AND s.off < r.hi AND s.size <= r.hi - s.off)""")
+def contained_samples(spark, sf_dir):
+    """Samples that lie in no data range of their movie."""
+    s = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("movie"), F.col("l_orderkey").alias("off"), F.floor("l_quantity").cast("bigint").alias("size")).distinct()
+    lo = (F.floor(F.col("o_orderkey") / 50) * 50).cast("bigint")
+    r = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("movie"), lo.alias("lo"), (lo + 40).alias("hi")).distinct()
+    return index.uncontained(s, r, ["movie"])
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey // 3 * 3 AS off, CAST(3 AS BIGINT) AS size FROM (SELECT DISTINCT o_custkey % 50 AS o_custkey, o_orderkey FROM orders)),
+n AS (SELECT *, CASE WHEN off = lag(off + size) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) THEN 0 ELSE 1 END AS new FROM o),
+g AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS extent FROM n)
+SELECT o_custkey, CAST(extent AS BIGINT) AS extent, min(off) AS off, CAST(sum(size) AS BIGINT) AS size, count(*) AS n FROM g GROUP BY o_custkey, extent""")
+def batch_extents(spark, sf_dir):
+    """Adjacent samples coalesced into one read."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("o_custkey"), "o_orderkey").distinct()
+    o = o.withColumn("off", (F.floor(F.col("o_orderkey") / 3) * 3).cast("bigint")).withColumn("size", F.lit(3).cast("bigint"))
+    return index.extents(o, ["o_custkey"], ["o_orderkey"]).withColumn("extent", F.col("extent").cast("bigint"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+b AS (SELECT user_id, k * 2 AS lo, CAST(2 AS BIGINT) AS h, n * 2 AS total FROM e WHERE NOT (user_id % 3 = 0 AND k = 5)),
+o AS (SELECT *, lo = coalesce(lag(lo + h) OVER (PARTITION BY user_id ORDER BY lo, h), 0) AS ok FROM b)
+SELECT user_id, bool_and(ok) AND max(lo + h) = max(total) AS ok FROM o GROUP BY user_id""")
+def tiling_check(spark, sf_dir):
+    """Bands of two rows for each event, one of them taken out for every third user."""
+    w = Window.partitionBy("user_id")
+    e = frames(spark, sf_dir).withColumn("k", F.row_number().over(w.orderBy("ts", "event_id")) - 1).withColumn("total", F.count("*").over(w) * 2)
+    bands = e.filter(~((F.col("user_id") % 3 == 0) & (F.col("k") == 5))).select("user_id", (F.col("k") * 2).alias("lo"), F.lit(2).alias("h"), "total")
+    return index.tiling(bands, ["user_id"], "lo", "h", "total")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderkey % 7 AS BIGINT) AS dur, CAST(o_orderkey AS BIGINT) AS pts FROM orders)
+SELECT o_orderkey, coalesce(pts = lag(pts + dur) OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey), true) AS ok FROM o""")
+def pts_continuity(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("movie"), (F.col("o_orderkey") % 7).alias("dur"), F.col("o_orderkey").alias("pts"))
+    return o.select("o_orderkey", index.continuity(o, ["movie"], ["o_orderkey"]).alias("ok"))
+
+
+# ---- control ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_FR} SELECT user_id, event_id, coalesce(count(*) OVER w >= 4 AND size > 1.8 * greatest(1.0, median(size) OVER w), false) AS cut FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)""")
+def cut_detect(spark, sf_dir):
+    return frames(spark, sf_dir).select("user_id", "event_id", control.cut("size", ["user_id"], ["ts", "event_id"]).alias("cut"))
+
+
+@query(f"""WITH {_FR} SELECT user_id, event_id,
+round(CASE WHEN count(*) OVER w >= 12 THEN greatest(-6.0, least(6.0, 8 * log2(avg(size) OVER w / 50.0))) ELSE 0 END, 6) AS win,
+round(CASE WHEN count(*) OVER a > 4 THEN 8 * log2(sum(size) OVER a / (50.0 * count(*) OVER a)) ELSE 0 END, 6) AS integ
+FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def vbv_terms(spark, sf_dir):
+    by, order = ["user_id"], ["ts", "event_id"]
+    return frames(spark, sf_dir).select(
+        "user_id",
+        "event_id",
+        F.round(control.window_term("size", F.lit(50.0), by, order), 6).alias("win"),
+        F.round(control.integral_term("size", F.lit(50.0), by, order), 6).alias("integ"),
+    )
+
+
+@query("""WITH f AS (SELECT l_orderkey, CAST(sum(CAST(floor(l_tax * l_extendedprice) AS BIGINT)) AS BIGINT) AS alpha, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS color FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, alpha, color, CAST(CASE WHEN color > 0 THEN least((alpha * 20000 + color) // (2 * color), 65535) END AS BIGINT) AS bp,
+CAST(sum(alpha) OVER w AS BIGINT) * 100 > CAST(sum(color) OVER w AS BIGINT) * 4 AS over FROM f WINDOW w AS (PARTITION BY l_orderkey % 16 ORDER BY l_orderkey)""")
+def alpha_budget(spark, sf_dir):
+    """Alpha against colour bytes by frame, in basis points, and whether the running share passes 4 %."""
+    li = table(spark, sf_dir, "lineitem")
+    f = li.groupBy("l_orderkey").agg(F.sum(F.floor(F.col("l_tax") * F.col("l_extendedprice"))).alias("alpha"), F.sum(F.floor("l_extendedprice")).alias("color"))
+    w = Window.partitionBy(F.col("l_orderkey") % 16).orderBy("l_orderkey")
+    return f.select("l_orderkey", "alpha", "color", control.basis_points(F.col("alpha"), F.col("color")).alias("bp"), (F.sum("alpha").over(w) * 100 > F.sum("color").over(w) * 4).alias("over"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, sum(CAST(floor(l_extendedprice) AS BIGINT)) AS color, sum(CAST(floor(l_tax * l_extendedprice) AS BIGINT)) AS alpha FROM lineitem GROUP BY l_orderkey),
+c(depth) AS (VALUES (12), (10), (8))
+SELECT l_orderkey, CAST(coalesce(max(depth) FILTER (alpha * depth * 100 <= color * 40), 8) AS BIGINT) AS depth FROM f, c GROUP BY l_orderkey""")
+def budget_depth(spark, sf_dir):
+    """The first of 12, 10, 8 bits whose alpha bytes stay within the budget; 8 if none does."""
+    li = table(spark, sf_dir, "lineitem")
+    f = li.groupBy("l_orderkey").agg(F.sum(F.floor(F.col("l_tax") * F.col("l_extendedprice"))).alias("alpha"), F.sum(F.floor("l_extendedprice")).alias("color"))
+    fits = lambda d: F.col("alpha") * d * 100 <= F.col("color") * 40
+    return f.select("l_orderkey", F.when(fits(12), 12).when(fits(10), 10).otherwise(8).cast("bigint").alias("depth"))
+
+
+@query()
+def debt_ledger(spark, sf_dir):
+    return control.debt_ledger(frames(spark, sf_dir), ["user_id"], ["ts", "event_id"], 50).drop("ts")
+
+
+@query()
+def next_qp(spark, sf_dir):
+    return control.qp_feedback(frames(spark, sf_dir), ["user_id"], ["ts", "event_id"], 50.0).drop("ts")
+
+
+# ---- scalar functions ---------------------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT o_orderkey, o_orderkey * 37 AS f FROM orders),
+n AS (SELECT o_orderkey, f, f + (f // 17982) * 18 + CASE WHEN f % 17982 >= 1800 THEN ((f % 17982 - 1800) // 1798 + 1) * 2 ELSE 0 END AS n FROM f)
+SELECT o_orderkey, lpad(CAST(n // 108000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n // 1800 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n // 30 % 60 AS VARCHAR), 2, '0') || ';' || lpad(CAST(n % 30 AS VARCHAR), 2, '0') AS tc, f AS back FROM n""")
+def timecode(spark, sf_dir):
+    """Drop-frame labels at 30 a second, and back."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", scalar.timecode(F.col("o_orderkey") * 37).alias("tc"))
+    return o.select("o_orderkey", "tc", scalar.timecode_frames(F.col("tc")).alias("back"))
+
+
+@query("SELECT o_orderkey, CAST(greatest(0, least(o_orderkey % 96 + o_orderkey % 13 - 6 + 4, CASE WHEN o_orderkey % 96 >= 64 THEN 95 ELSE 63 END)) AS BIGINT) AS qp, CAST(greatest(1, round_even(o_totalprice / 1000 * 64 / 8, 0)) AS BIGINT) AS bytes FROM orders")
+def qp_and_bytes(spark, sf_dir):
+    base, delta = F.col("o_orderkey") % 96, F.col("o_orderkey") % 13 - 6
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalar.effective_qp(base, delta, 12).alias("qp"), scalar.bytes_for(F.col("o_totalprice") / 1000, F.lit(64), F.lit(1)).alias("bytes"))
+
+
+@query("SELECT c_custkey, CAST(round(c_acctbal) AS BIGINT) AS v, CAST(CASE WHEN round(c_acctbal) >= 0 THEN 2 * round(c_acctbal) ELSE -2 * round(c_acctbal) - 1 END AS BIGINT) AS m, CAST(round(c_acctbal) AS BIGINT) AS back FROM customer")
+def fold_map(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.round("c_acctbal").cast("bigint").alias("v")).withColumn("m", block.fold(F.col("v")))
+    return c.withColumn("back", block.unfold(F.col("m")).cast("bigint"))
+
+
+@query()
+def crc32_payload(spark, sf_dir):
+    """CRC-32 and length of each page as a packet payload."""
+    return table(spark, sf_dir, "pages").select("page_id", F.crc32(F.col("html").cast("binary")).alias("crc"), F.octet_length("html").cast("bigint").alias("size"))
+
+
+# ---- sequences ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+l AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN k END) OVER (PARTITION BY user_id ORDER BY k) AS i, max(CASE WHEN event_type = 'error' THEN k END) OVER (PARTITION BY user_id ORDER BY k) AS b FROM o)
+SELECT user_id, event_id, CAST(CASE WHEN i IS NULL AND b IS NULL THEN 0 WHEN i IS NULL OR coalesce(b, 0) > i THEN 2 ELSE 1 END AS BIGINT) AS state FROM l""")
+def gop_state(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    return gop.with_state(f, F.col("event_type") == "signup", F.col("event_type") == "error", ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "state")
+
+
+@query("""WITH o AS (SELECT user_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 12 AS seg FROM events)
+SELECT user_id, CAST(seg AS BIGINT) AS seg, count(*) AS n, count(*) FILTER (event_type = 'signup') AS n_i, count(*) FILTER (event_type = 'error') AS n_bad FROM o GROUP BY user_id, seg""")
+def gop_segments(spark, sf_dir):
+    """Segments of 12 frames, coded apart from each other, with their I and damaged frames."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    f = frames(spark, sf_dir).withColumn("seg", F.floor((F.row_number().over(w) - 1) / 12))
+    return f.groupBy("user_id", "seg").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "signup").alias("n_i"), F.count_if(F.col("event_type") == "error").alias("n_bad"))
