@@ -40,6 +40,18 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+def parts(word: str) -> tuple[str, str]:
+    """A word as a core and the punctuation after it, which the tokenizer never joins with a letter or digit
+    before it; ASCII in lower case, as the tokenizer takes it. Special tokens all have a `<` and stay whole."""
+    if "<" in word:
+        return word, ""
+    core = word.rstrip(".,!?;:")
+    tail = word[len(core) :]
+    if not core or tail and not (core[-1].isalpha() or core[-1] in "0123456789"):
+        core, tail = word, ""
+    return (core.lower() if core.isascii() else core), tail
+
+
 class Tokens:
     """Encodes words through a bounded dictionary: word -> (ids as little-endian bytes, decoded text)."""
 
@@ -63,8 +75,18 @@ class Tokens:
         if len(self.known) + len(new) > MOST_WORDS:
             self.known.clear()
             new = list(words)
-        for at in range(0, len(new), 4096):
-            self.known.update(self.encoded(new[at : at + 4096]))
+        known = self.known
+        ends = {w: parts(w) for w in new} if self.plain else {w: (w, "") for w in new}
+        need = {x for both in ends.values() for x in both if x and x not in known}
+        self.long.update(w for w in need if len(w) > LONGEST)
+        left = list(need)
+        for at in range(0, len(left), 4096):
+            known.update(self.encoded(left[at : at + 4096]))
+        for w, (core, tail) in ends.items():
+            if core != w:
+                a = known[core]
+                b = known[tail] if tail else (b"", "")
+                known[w] = (a[0] + b[0], f"{a[1]} {b[1]}" if tail else a[1])
 
     def encoded(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
