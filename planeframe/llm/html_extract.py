@@ -3,7 +3,7 @@
 The standard library's parser streams events, which become lines: one for each block of text, with the tags
 that stand in it and the path of elements around it. Each line's text-to-tag ratio is smoothed with a
 Gaussian, and a threshold (the median line's share of the spread) clusters lines into content and others. The
-region is the article element, if one holds content lines, else the smallest element that holds most of the
+region is the article element, if one holds content lines, else the smallest container that holds most of the
 content's text; inside it only what is marked as another kind of thing goes (menus, notices, comments, ...).
 """
 
@@ -29,6 +29,7 @@ BLOCKS = frozenset(
 )
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video map textarea select option button datalist".split())
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
+CONTAINERS = frozenset("html body main section div table tbody td center".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An open one of these ends where the next one begins (or another block, for p).
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -168,8 +169,8 @@ def main_text(html: str) -> str:
         inner = {e for e in named if not any(f in p and e in p and p.index(f) < p.index(e) for _, _, p, _ in kept for f in named if f != e)} if len(named) > 1 else set(named)
         region = max(inner, key=lambda e: (mass[e], -e))
     else:
-        # the deepest element with most of the content's text; numbers grow with depth
-        region = max((e for e, m in mass.items() if 2 * m > every), default=0)
+        # the deepest container with four fifths of the content's text; numbers grow with depth
+        region = max((e for e, m in mass.items() if 5 * m >= 4 * every and parser.names[e] in CONTAINERS), default=0)
     return "\n".join(t for t, _, path, _ in kept if not region or region in path)
 
 

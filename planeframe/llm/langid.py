@@ -71,7 +71,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, rate: float = 40.0, batch: int = 32) -> Model:
+def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = 1500, rate: float = 40.0, batch: int = 16) -> Model:
     """Fits a model. Without any labelled text it knows no language and predicts UNKNOWN throughout."""
     names = tuple(sorted(set(langs)))
     if not names:
@@ -85,12 +85,12 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ra
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(names)), np.float32)
     bias = np.zeros(len(names), np.float32)
-    steps = max(1, epochs * (len(fit) // batch + 1))
     done = 0
-    for _ in range(epochs):
+    while done < steps:  # as many steps for a small sample as for a large one
+        rng.shuffle(fit)
         for at in range(0, len(fit), batch):
-            rows = rng.permutation(fit)[:batch] if len(fit) <= batch else fit[at : at + batch]
-            eta = rate * (1 - done / steps)
+            rows = fit[at : at + batch]
+            eta = rate * max(0.0, 1 - done / steps)
             done += 1
             idx = [features[i][0] for i in rows]
             share = [features[i][1] for i in rows]
@@ -103,7 +103,6 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ra
             bias -= np.float32(eta * 0.01) * slope.sum(0)
             for i, s, g in zip(idx, share, back):
                 emb[i] -= np.float32(eta) * s[:, None] * g[None, :]
-        rng.shuffle(fit)
     table = (emb @ out).astype(np.float32)
     z = np.stack([features[i][1] @ table[features[i][0]] if len(features[i][0]) else np.zeros(len(names)) for i in held]) + bias
     losses = {}
@@ -126,10 +125,14 @@ def is_held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Trains on at most sample_rows labelled rows of docs(doc_id, text, lang): the first by a hash of their id."""
+    labelled = narrow(docs, "doc_id", "text", "lang").filter(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    n = labelled.count()  # of ids and labels alone
+    # about half as many again as are wanted pass the hash, whatever the table's size; the driver gets those only
+    share = min(1.0, 1.5 * sample_rows / max(1, n))
+    place = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
     rows = (
-        narrow(docs, "doc_id", "text", "lang")
-        .filter(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(_LETTERS))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text"))
+        labelled.filter((place < int(share * (1 << 30))) & F.col("text").rlike(_LETTERS))
+        .orderBy(place, "doc_id", "lang", F.xxhash64("text"))
         .limit(sample_rows)
         .select("text", "lang")
         .collect()
