@@ -26,7 +26,7 @@ from planeframe.llm.common import narrow
 #: Bytes under the rolling hash, and the mean distance of its cuts (a power of two).
 WINDOW, MEAN_CHUNK = 16, 1024
 #: Entries after which a dictionary starts anew, and the longest word that is kept in it.
-MOST_WORDS, MOST_CHUNKS, LONGEST = 600_000, 20_000, 64
+MOST_WORDS, MOST_CHUNKS, LONGEST = 600_000, 6_000, 64
 
 #: White space of Unicode beyond ASCII's six, and separators that only str.split() drops.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -41,7 +41,7 @@ def split_words(text: str) -> list[str]:
 
 
 class Tokens:
-    """Encodes words through a bounded dictionary: word -> (ids as little-endian bytes, decoded text)."""
+    """Encodes words through a bounded dictionary: word -> ids as little-endian bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,27 +50,34 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.long: set[str] = set()
         self.plain = self.tokenizer.decoder is None
-        self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(True))]
+        self.names = np.array([self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(True))], object)
 
     def learn(self, words: set[str]) -> None:
+        """Puts words into the dictionary. Of two generations the older one goes when the newer is full; words
+        that are met again move over, so that common words are never encoded anew."""
         new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        self.long.update(w for w in new if len(w) > LONGEST)
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
+        if len(self.known) + len(new) > MOST_WORDS // 2:
+            self.old, self.known = self.known, {}
             new = list(words)
-        for at in range(0, len(new), 4096):
-            self.known.update(self.encoded(new[at : at + 4096]))
-
-    def encoded(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
+        left = []
+        for w in new:
+            if (raw := self.old.get(w)) is None:
+                left.append(w)
+            else:
+                self.known[w] = raw
+        self.long.update(w for w in left if len(w) > LONGEST)
+        for at in range(0, len(left), 4096):
+            self.known.update(self.encoded(left[at : at + 4096]))
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
         ends = list(accumulate(map(len, ids), initial=0))
-        return {w: (raw[4 * a : 4 * b], self.shown(i)) for w, i, a, b in zip(words, ids, ends, ends[1:])}
+        return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, ends, ends[1:])}
 
     def forget_long(self) -> None:
         """Words beyond LONGEST are not kept, so that the dictionary's size in bytes is bounded too."""
@@ -78,9 +85,12 @@ class Tokens:
             self.known.pop(w, None)
         self.long.clear()
 
-    def shown(self, ids: list[int]) -> str:
-        """What decode() makes of a word's ids; without a decoder, tokens are joined by one space."""
-        return " ".join([self.names[i] for i in ids]) if self.plain else self.tokenizer.decode(ids, skip_special_tokens=False)
+    def decoded(self, raw: bytes) -> str:
+        """What decode() makes of the ids; without a decoder, tokens are joined by one space."""
+        ids = np.frombuffer(raw, "<u4")
+        if self.plain:
+            return " ".join(self.names[ids].tolist())
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
 def cuts(body: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -103,16 +113,15 @@ class Codec:
 
     def __init__(self, path: str):
         self.tokens = Tokens(path)
-        self.chunks: dict[bytes, tuple[str, bytes, str, str]] = {}
+        self.chunks: dict[bytes, tuple[str, bytes, str] | str] = {}
 
-    def _chunk(self, text: str, parts: list[str]) -> tuple[str, bytes, str, str] | str:
-        """The chunk's first stretch, its inner words' ids and text, its last stretch; or all of it if no white space cuts it."""
+    def _chunk(self, text: str, parts: list[str]) -> tuple[str, bytes, str] | str:
+        """The chunk's first stretch, its inner words' ids, its last stretch; or all of it if no white space cuts it."""
         if len(parts) == 1 and len(parts[0]) == len(text):
             return text
         head = "" if text[:1] in _SPACES else parts.pop(0)
         tail = "" if text[-1:] in _SPACES else parts.pop()
-        known = [self.tokens.known[w] for w in parts]
-        return head, b"".join([k[0] for k in known]), " ".join([k[1] for k in known if k[1]]), tail
+        return head, b"".join(map(self.tokens.known.__getitem__, parts)), tail
 
     def run(self, body: np.ndarray, off: np.ndarray) -> Iterator[tuple[bytes, str]]:
         """The ids (little-endian 32 bits each) and the decoded text of every text."""
@@ -139,7 +148,7 @@ class Codec:
                     out.append(word)
                     joins.add(word)
                 out.append(c)
-                open_ = c[3]
+                open_ = c[2]
             if open_:
                 out.append(open_)
                 joins.add(open_)
@@ -147,10 +156,10 @@ class Codec:
         mended = self._mended(joins)
         self.tokens.forget_long()
         for out in texts:
-            found = [mended[x] if isinstance(x, str) else (x[1], x[2]) for x in out]
-            yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
+            raw = b"".join([mended[x] if isinstance(x, str) else x[1] for x in out])
+            yield raw, self.tokens.decoded(raw)
 
-    def _mended(self, joins: set[str]) -> dict[str, tuple[bytes, str]]:
+    def _mended(self, joins: set[str]) -> dict[str, bytes]:
         known = self.tokens.known
         out = {w: known[w] for w in joins if w in known}
         left = [w for w in joins if w not in out]
