@@ -26,7 +26,7 @@ from planeframe.llm.common import narrow
 #: Bytes under the rolling hash, and the mean distance of its cuts (a power of two).
 WINDOW, MEAN_CHUNK = 16, 1024
 #: Entries after which a dictionary starts anew, and the longest word that is kept in it.
-MOST_WORDS, MOST_CHUNKS, LONGEST = 600_000, 6_000, 64
+MOST_WORDS, MOST_CHUNKS, LONGEST = 500_000, 4_000, 64
 
 #: White space of Unicode beyond ASCII's six, and separators that only str.split() drops.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")

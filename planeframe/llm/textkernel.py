@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in runs of about so many bytes (a longer text makes a run of its own).
-RUN_BYTES = 2 << 20
+RUN_BYTES = 512 << 10
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
@@ -36,7 +36,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         both = []
         for r in (_R, _R_INV):
-            p = np.full(max(n, 2 * len(_powers[0])), r, np.uint64)
+            p = np.full(max(n, RUN_BYTES + 4096), r, np.uint64)
             p[0] = 1
             both.append(np.cumprod(p, dtype=np.uint64))
         _powers = tuple(both)
