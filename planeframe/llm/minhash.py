@@ -103,8 +103,9 @@ def _descend(node: np.ndarray, rows: np.ndarray, sk: np.ndarray, twice: bool) ->
 _NODE = "node bigint, rep bigint"
 
 
-def _rows(rep: pa.Array, node: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), rep.take(pa.array(rows))], ["node", "rep"])
+def _rows(node: np.ndarray, rows: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+    at = pa.array(rows)
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *[c.take(at) for c in columns.values()]], ["node", *columns])
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +119,11 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node, at = np.full(len(rows), (tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64), rows
             for _ in range(FIRST_DEPTH):
                 node, at = _descend(node, at, sk, False)
-            yield _rows(batch.column(0), node, at)
+            yield _rows(node, at, rep=batch.column(0))
 
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, rep, sk) of nodes that are still large in; the nodes two levels below out."""
+    """(node, rep, sk) of nodes that are still large in; the same of the nodes two levels below out."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -131,7 +132,7 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(batch.num_rows)
         for _ in range(2):
             node, at = _descend(node, at, sk, True)
-        yield _rows(batch.column(1), node, at)
+        yield _rows(node, at, rep=batch.column(1), sk=batch.column(2))
 
 
 def _matrix(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
@@ -264,11 +265,13 @@ def small_nodes(vertices: DataFrame) -> DataFrame:
         big = sizes.filter(F.col("m") > SMALL)
         if big.isEmpty():
             break
-        rest = level.join(maybe_broadcast(big, 100_000), "node").select("node", "rep", "m")
+        rest = level.join(maybe_broadcast(big, 100_000), "node")
         if depth >= DEPTH:
-            small.append(_blocks(rest))
+            small.append(_blocks(rest.select("node", "rep", "m")))
             break
-        level = materialize(rest.join(vertices.select("rep", "sk"), "rep").select("node", "rep", "sk").mapInArrow(_deeper, _NODE), "nodes")
+        if depth == FIRST_DEPTH:  # from here on, the members of large nodes bring their sketches along
+            rest = rest.join(vertices.select("rep", "sk"), "rep")
+        level = materialize(rest.select("node", "rep", "sk").mapInArrow(_deeper, _NODE + ", sk binary"), "nodes")
         depth += 2
     nodes = small[0]
     for s in small[1:]:
