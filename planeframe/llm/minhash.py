@@ -8,8 +8,11 @@ after DEPTH tokens is cut into blocks, each with the node's leaders in it, and t
 
 Comparing a node yields FORESTS edge-disjoint spanning forests of its likely pairs, most similar first, so
 that every way to part the node keeps its FORESTS best links, and the pairs grow with the members and not
-with their square. Each of those pairs is then confirmed on the full sets. At
-last, likely pairs between what are still different components are confirmed too.
+and not with their square. Each of those pairs is then confirmed on the full sets. At
+last, likely pairs between what are still different components are confirmed too, after a second look at
+them with LONG tokens more. Such a pair lies in one tree of its node's forest, and on the way from one end
+to the other some pair of the forest leads from one component into another; so only the members of components
+at the ends of such pairs (suspects) are compared again.
 """
 
 from __future__ import annotations
@@ -25,27 +28,31 @@ from planeframe.llm import textkernel as K
 from planeframe.llm.common import materialize, maybe_broadcast, narrow
 from planeframe.llm.graph import components, joined
 
-COORDS, TREES, SMALL, FIRST_DEPTH, DEPTH, FORESTS, LEADERS = 128, 14, 512, 2, 14, 1, 4
+COORDS, TREES, SMALL, FIRST_DEPTH, DEPTH, FORESTS, LEADERS, LONG = 128, 14, 512, 2, 14, 1, 4, 384
 #: Share of tokens that two sketches must have in common to be confirmed on the full sets: 3 standard
 #: deviations below 0.8. With it, the trees miss a pair of similarity 0.8 about once in 1,000.
 LIKELY = 0.695
+#: The same for LONG tokens more: 3.5 standard deviations below 0.8.
+LIKELY_LONG = 0.728
 
 _rng = np.random.default_rng(20240521)
 _XOR = _rng.integers(1, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32)
 _MUL = _rng.integers(1, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_XOR_LONG = _rng.integers(1, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32)
+_MUL_LONG = _rng.integers(1, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """Sets x COORDS minwise tokens of 16 bits; zeros for an empty set."""
-    out = np.zeros((len(sets), COORDS), np.uint16)
+def sketch(sets: list[np.ndarray], xor: np.ndarray = _XOR, mul: np.ndarray = _MUL) -> np.ndarray:
+    """Sets x len(xor) minwise tokens of 16 bits; zeros for an empty set."""
+    out = np.zeros((len(sets), len(xor)), np.uint16)
     filled = [i for i, s in enumerate(sets) if len(s)]
     if not filled:
         return out
     sizes = np.array([len(sets[i]) for i in filled])
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     low = (np.concatenate([sets[i] for i in filled]) >> np.uint64(16)).astype(np.uint32)
-    for c in range(COORDS):
-        least = np.minimum.reduceat((low ^ _XOR[c]) * _MUL[c], at)
+    for c in range(len(xor)):
+        least = np.minimum.reduceat((low ^ xor[c]) * mul[c], at)
         out[filled, c] = ((least * np.uint32(0x9E3779B1)) ^ (least >> np.uint32(7))) >> np.uint32(16)
     return out
 
@@ -135,8 +142,8 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(node, at, rep=batch.column(1), sk=batch.column(2))
 
 
-def _matrix(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), COORDS)
+def _matrix(column: pa.Array, kind: type = np.uint16, width: int = COORDS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
 
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +229,7 @@ def _groups(table: pa.Table, edges: np.ndarray, percent: int, across: bool, out:
     size = np.diff(edges)
     rep, n, label = (table.column(c).to_numpy() for c in (1, 2, 4))
     sk = _matrix(table.column(3), np.uint8)
+    more = _matrix(table.column(5), np.uint8, LONG) if across else None
     twos = edges[:-1][size == 2]
     same = (sk[twos] == sk[twos + 1]).sum(1)  # most nodes: all at once
     for g in np.concatenate([np.flatnonzero(size > 2), np.flatnonzero(size == 2)[same >= LIKELY * COORDS]]).tolist():
@@ -230,6 +238,9 @@ def _groups(table: pa.Table, edges: np.ndarray, percent: int, across: bool, out:
         i, j = i + a, j + a
         ok = (label[i] != label[j]) & (rep[i] != rep[j])
         i, j, same = i[ok], j[ok], same[ok]
+        if across and len(i):
+            ok = np.concatenate([(more[i[x : x + 4096]] == more[j[x : x + 4096]]).sum(1) >= LIKELY_LONG * LONG for x in range(0, len(i), 4096)])
+            i, j = i[ok], j[ok]
         if not len(i):
             continue
         if across:
@@ -279,23 +290,42 @@ def small_nodes(vertices: DataFrame) -> DataFrame:
     return materialize(nodes, "nodes")
 
 
-def candidates(nodes: DataFrame, vertices: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame:
-    """Likely pairs (a < b) of the members of nodes(node, rep); sketches come from vertices(rep, n, sk).
-
-    Without labels, each node's spanning forests. With labels(v, label), all likely pairs whose labels
-    differ; nodes with one label only are left out before sketches move.
-    """
-    if labels is not None:
-        nodes = nodes.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = nodes.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node")
-        nodes = nodes.join(mixed, "node", "left_semi")
-    else:
-        nodes = nodes.withColumn("label", F.col("rep"))
-    members = nodes.join(vertices.select("rep", "n", "short"), "rep").select("node", "rep", "n", "short", "label")
+def candidates(nodes: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a < b) of the spanning forests of nodes(node, rep); sketches come from vertices(rep, n, short)."""
+    members = nodes.join(vertices.select("rep", "n", "short"), "rep").select("node", "rep", "n", "short", F.col("rep").alias("label"))
     # nodes are small: a task holds one at a time, and hashing them spreads the rows evenly
     dealt = members.repartition("node").sortWithinPartitions("node", "rep")
-    if labels is None:
-        return dealt.mapInArrow(_compare(percent, False), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_compare(percent, False), "a bigint, b bigint").distinct()
+
+
+def suspects(vertices: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, n, short, label) of the vertices in the components between which pairs(a, b) lead; labels(v, label)
+    names the components, and a vertex without a label is one of its own."""
+    ends = pairs.join(labels.select(F.col("v").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("label").alias("lb")), "b", "left")
+    apart = ends.select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la <> lb")
+    named = materialize(apart.select(F.col("la").alias("label")).union(apart.select("lb")).distinct(), "apart")
+    every = vertices.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("rep", "n", "short", F.coalesce("label", "rep").alias("label"))
+    return materialize(every.join(maybe_broadcast(named), "label", "left_semi").select("rep", "n", "short", "label"), "suspects")
+
+
+def across(nodes: DataFrame, docs: DataFrame, suspected: DataFrame, k: int, percent: int) -> DataFrame:
+    """Likely pairs (a < b) in nodes(node, rep) of suspected(rep, n, short, label) whose labels differ."""
+    few = maybe_broadcast(suspected.select("rep"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, sets in sets_of(batch, 1, k):
+                tokens = sketch(sets, _XOR_LONG, _MUL_LONG).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in tokens], pa.binary())], ["rep", "more"])
+
+    rows = docs.join(few, docs["doc_id"] == few["rep"]).select("rep", "text")
+    # a doc_id that repeats with other texts meets the sketches of all of them, which can only add pairs
+    sketches = rows.mapInArrow(work, "rep bigint, more binary").distinct()
+    known = materialize(suspected.join(sketches, "rep"), "sketches")
+    mine = nodes.join(few, "rep", "left_semi")
+    mixed = mine.join(suspected.select("rep", "label"), "rep").groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node")
+    members = mine.join(mixed, "node", "left_semi").join(known, "rep").select("node", "rep", "n", "short", "label", "more")
+    dealt = members.repartition("node").sortWithinPartitions("node", "rep")
     # at most TREES * SMALL partners each, once for each tree until here
     partners = dealt.mapInArrow(_compare(percent, True), "u bigint, partners array<bigint>")
     each = partners.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
@@ -365,9 +395,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = materialize(confirmed(docs, pairs, k, percent), "links")
     found = components(links)
     # likely pairs that would still join two components, beyond those that were looked at
-    more = materialize(candidates(nodes, vertices, percent, found).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        found = joined(vertices.select(F.col("rep").alias("v")), found, confirmed(docs, more, k, percent))
+    suspected = suspects(vertices, pairs, found)
+    if not suspected.isEmpty():
+        more = materialize(across(nodes, docs, suspected, k, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            found = joined(vertices.select(F.col("rep").alias("v")), found, confirmed(docs, more, k, percent))
     labels = vertices.join(found, vertices["rep"] == found["v"], "left").select("key", F.coalesce("label", "rep").alias("component_id"))
     out = prints.select("doc_id", F.col("n").alias("n_shingles"), "key").join(labels, "key", "left")
     component = F.coalesce("component_id", "doc_id")
