@@ -6,13 +6,12 @@ the set goes on to the child that its own token there selects. Nodes of at most
 exhaustively; larger ones are branched again, in rounds, and only their members move. A node that stays large
 after DEPTH tokens is cut into blocks, each with the node's leaders in it, and the blocks are compared.
 
-Comparing a node yields FORESTS edge-disjoint spanning forests of its likely pairs, most similar first, so
-that every way to part the node keeps its FORESTS best links, and the pairs grow with the members and not
-and not with their square. Each of those pairs is then confirmed on the full sets. At
-last, likely pairs between what are still different components are confirmed too, after a second look at
-them with LONG tokens more. Such a pair lies in one tree of its node's forest, and on the way from one end
-to the other some pair of the forest leads from one component into another; so only the members of components
-at the ends of such pairs (suspects) are compared again.
+Comparing a node yields a spanning forest of its likely pairs, most similar first, so that every way to part
+the node keeps its best link, and the pairs grow with the members and not with their square. Each of those
+pairs is then confirmed on the full sets. At last, likely pairs between what are still different components are
+confirmed too, after a second look at them with LONG tokens more. Such a pair lies in one tree of its node's
+forest, and on the way from one end to the other some pair of the forest leads from one component into another;
+so only the members of components at the ends of such pairs (suspects) are compared again.
 """
 
 from __future__ import annotations
@@ -28,12 +27,12 @@ from planeframe.llm import textkernel as K
 from planeframe.llm.common import materialize, maybe_broadcast, narrow
 from planeframe.llm.graph import components, joined
 
-COORDS, TREES, SMALL, FIRST_DEPTH, DEPTH, FORESTS, LEADERS, LONG = 128, 14, 512, 2, 14, 1, 4, 384
+COORDS, TREES, SMALL, FIRST_DEPTH, DEPTH, LEADERS, LONG = 128, 14, 2048, 2, 14, 4, 896
 #: Share of tokens that two sketches must have in common to be confirmed on the full sets: 3 standard
 #: deviations below 0.8. With it, the trees miss a pair of similarity 0.8 about once in 1,000.
 LIKELY = 0.695
 #: The same for LONG tokens more: 3.5 standard deviations below 0.8.
-LIKELY_LONG = 0.728
+LIKELY_LONG = 0.753
 
 _rng = np.random.default_rng(20240521)
 _XOR = _rng.integers(1, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32)
@@ -161,44 +160,53 @@ def likely_pairs(sk: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarra
         i, j = np.array([0]), np.array([1])
         same = np.array([(sk[0] == sk[1]).sum()])
     else:
-        equal = np.zeros((m, m), np.uint8)
-        for c in range(COORDS):
-            col = sk[:, c]
-            equal += col[:, None] == col[None, :]
-        i, j = np.nonzero(np.triu(equal >= LIKELY * COORDS, 1))
-        same = equal[i, j]
+        found = []
+        for x in range(0, m, 256):  # the triangle in strips
+            equal = np.zeros((min(256, m - x), m - x), np.uint8)
+            for c in range(COORDS):
+                equal += sk[x : x + 256, c][:, None] == sk[x:, c][None, :]
+            i, j = np.nonzero(np.triu(equal >= LIKELY * COORDS, 1))
+            found.append((i + x, j + x, equal[i, j]))
+        i, j, same = (np.concatenate(column) for column in zip(*found))
     ok = (same >= LIKELY * COORDS) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
     return i[ok], j[ok], same[ok]
 
 
-def forests(m: int, i: np.ndarray, j: np.ndarray, same: np.ndarray, k: int = FORESTS) -> list[int]:
-    """Positions of the pairs in k edge-disjoint spanning forests, most similar pairs first."""
-    order = np.lexsort((j, i, -same.astype(np.int64))).tolist()
-    out = []
-    for _ in range(k):
-        root = list(range(m))
-        rest = []
-        for e in order:
-            a, b = int(i[e]), int(j[e])
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
-            if a == b:
-                rest.append(e)
-            else:
-                root[a] = b
-                out.append(e)
-        order = rest
-        if not order:
-            break
-    return out
+def forest(m: int, i: np.ndarray, j: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a spanning forest of the pairs (i, j) of m members, most similar first."""
+    if len(i) > 16 * m:  # dense: grow trees, one member at a time
+        weight = np.zeros((m, m), np.int16)
+        weight[i, j] = weight[j, i] = same
+        best, via = np.zeros(m, np.int16), np.zeros(m, np.int64)
+        out = []
+        for _ in range(m):
+            v = int(best.argmax())
+            if best[v]:
+                out.append((int(via[v]), v))
+            best[v] = -1
+            nearer = (weight[v] > best) & (best >= 0)
+            best[nearer] = weight[v, nearer]
+            via[nearer] = v
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return np.minimum(a, b), np.maximum(a, b)
+    root = list(range(m))
+    keep = []
+    for e in np.lexsort((j, i, -same.astype(np.int64))).tolist():
+        a, b = int(i[e]), int(j[e])
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        while root[b] != b:
+            root[b] = root[root[b]]
+            b = root[b]
+        if a != b:
+            root[a] = b
+            keep.append(e)
+    return i[keep], j[keep]
 
 
 def _compare(percent: int, across: bool):
-    """Batches sorted by node in. Out: the pairs (a < b) of each node's forests; or, across labels, all likely
+    """Batches sorted by node in. Out: the pairs (a < b) of each node's forest; or, across labels, all likely
     pairs, as rows (u, partners) where u is the end whose label has fewer members in the node."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +261,8 @@ def _groups(table: pa.Table, edges: np.ndarray, percent: int, across: bool, out:
             out += [(int(u[x[0]]), p[x]) for x in np.split(order, edge)]
             continue
         if len(i) > 1:
-            keep = forests(b - a, i - a, j - a, same)
-            i, j = i[keep], j[keep]
+            i, j = forest(b - a, i - a, j - a, same)
+            i, j = i + a, j + a
         x, y = rep[i], rep[j]
         out.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
 
