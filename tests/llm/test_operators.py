@@ -277,3 +277,20 @@ def test_pipeline(spark):
     assert len(corpus_pipeline.STAGES) == 5
     leaks = {r.doc_id for r in decontam.overlaps(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert not leaks & set(ids)
+
+
+def test_likely_pairs_and_dense_forests():
+    """Strips find the pairs that a plain comparison finds, and both ways to grow a forest give the same total."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (3, minhash.COORDS))
+    sk = base[rng.integers(0, 3, 600)].astype(np.uint8)
+    sk[rng.random(sk.shape) < 0.1] = 7
+    n = rng.integers(80, 120, 600)
+    i, j, same = minhash.likely_pairs(sk, n, 80)
+    want = {(a, b) for a in range(600) for b in np.flatnonzero((sk == sk[a]).sum(1) >= minhash.LIKELY * minhash.COORDS) if a < b and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b])}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) > 16 * 600
+    weight = {(a, b): int(w) for a, b, w in zip(i.tolist(), j.tolist(), same)}
+    dense = [weight[e] for e in zip(*(x.tolist() for x in minhash.forest(600, i, j, same)))]
+    # members in plenty make the same pairs sparse
+    sparse = [weight[e] for e in zip(*(x.tolist() for x in minhash.forest(len(i), i, j, same)))]
+    assert len(dense) == len(sparse) and sum(dense) == sum(sparse)
