@@ -4,7 +4,8 @@ Every distinct shingle set gets a sketch of COORDS minwise tokens. In each of TR
 walks down paths: a node names the next coordinate (now and then two, which offsets what a level loses), and
 the set goes on to the child that its own token there selects. Nodes of at most SMALL members are compared
 exhaustively; larger ones are branched again, in rounds, and only their members move. A node that stays large
-after DEPTH tokens is cut into blocks, each with the node's leaders in it, and the blocks are compared.
+after DEPTH tokens is cut into blocks, each with the node's leaders in it, and the blocks are compared; that
+links the mass of a family. What is then still apart in such a node is compared block against block.
 
 Comparing a node yields a spanning forest of its likely pairs, most similar first, so that every way to part
 the node keeps its best link, and the pairs grow with the members and not with their square. Each of those
@@ -94,13 +95,14 @@ def _child(node: np.ndarray, coord: np.ndarray, token: np.ndarray) -> np.ndarray
 
 
 def _descend(node: np.ndarray, rows: np.ndarray, sk: np.ndarray, twice: bool) -> tuple[np.ndarray, np.ndarray]:
-    """One level down: the children and the rows that go there. A fourth of the nodes branch on two coordinates."""
+    """One level down: the children and the rows that go there. Half of the nodes branch on two coordinates:
+    a pair of similarity 0.8 then has 0.8 * 1.5 common children of a node, more than one, and isn't lost with depth."""
     pick = K.mix(node + np.uint64(0x51ED270B))
     c1 = (pick % np.uint64(COORDS)).astype(np.int64)
     one = _child(node, c1, sk[rows, c1])
     if not twice:
         return one, rows
-    two = (pick >> np.uint64(40)) % np.uint64(4) == 0
+    two = (pick >> np.uint64(40)) % np.uint64(2) == 0
     c2 = (c1[two] + 1 + ((pick[two] >> np.uint64(20)) % np.uint64(COORDS - 1)).astype(np.int64)) % COORDS
     other = _child(node[two], c2, sk[rows[two], c2])
     return np.concatenate([one, other]), np.concatenate([rows, rows[two]])
@@ -274,10 +276,11 @@ def _pairs(out: set | list, across: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def small_nodes(vertices: DataFrame) -> DataFrame:
-    """(node, rep) of vertices(rep, n, sk): the members of the small nodes of all trees."""
+def small_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, rep) of vertices(rep, n, sk): the members of the small nodes of all trees, and those of the nodes
+    that stay large, if there are any."""
     level = materialize(vertices.select("rep", "sk").mapInArrow(_roots, _NODE), "nodes")
-    depth, small = FIRST_DEPTH, []
+    depth, small, large = FIRST_DEPTH, [], None
     while True:
         sizes = materialize(level.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
         small.append(level.join(sizes.filter(F.col("m") <= SMALL).select("node"), "node", "left_semi").select("node", "rep"))
@@ -286,7 +289,8 @@ def small_nodes(vertices: DataFrame) -> DataFrame:
             break
         rest = level.join(maybe_broadcast(big, 100_000), "node")
         if depth >= DEPTH:
-            small.append(_blocks(rest.select("node", "rep", "m")))
+            large = materialize(rest.select("node", "rep", "m").distinct(), "large")
+            small.append(_blocks(large))
             break
         if depth == FIRST_DEPTH:  # from here on, the members of large nodes bring their sketches along
             rest = rest.join(vertices.select("rep", "sk"), "rep")
@@ -295,7 +299,7 @@ def small_nodes(vertices: DataFrame) -> DataFrame:
     nodes = small[0]
     for s in small[1:]:
         nodes = nodes.unionByName(s)
-    return materialize(nodes, "nodes")
+    return materialize(nodes, "nodes"), large
 
 
 def candidates(nodes: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
@@ -312,8 +316,7 @@ def suspects(vertices: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFr
     ends = pairs.join(labels.select(F.col("v").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("label").alias("lb")), "b", "left")
     apart = ends.select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la <> lb")
     named = materialize(apart.select(F.col("la").alias("label")).union(apart.select("lb")).distinct(), "apart")
-    every = vertices.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("rep", "n", "short", F.coalesce("label", "rep").alias("label"))
-    return materialize(every.join(maybe_broadcast(named), "label", "left_semi").select("rep", "n", "short", "label"), "suspects")
+    return materialize(labelled(vertices, labels).join(maybe_broadcast(named), "label", "left_semi").select("rep", "n", "short", "label"), "suspects")
 
 
 def across(nodes: DataFrame, docs: DataFrame, suspected: DataFrame, k: int, percent: int) -> DataFrame:
@@ -334,7 +337,7 @@ def across(nodes: DataFrame, docs: DataFrame, suspected: DataFrame, k: int, perc
     mixed = mine.join(suspected.select("rep", "label"), "rep").groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node")
     members = mine.join(mixed, "node", "left_semi").join(known, "rep").select("node", "rep", "n", "short", "label", "more")
     dealt = members.repartition("node").sortWithinPartitions("node", "rep")
-    # at most TREES * SMALL partners each, once for each tree until here
+    # each partner once for each tree until here
     partners = dealt.mapInArrow(_compare(percent, True), "u bigint, partners array<bigint>")
     each = partners.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
     return each.select("u", F.explode("partners").alias("p")).select(F.least("u", "p").alias("a"), F.greatest("u", "p").alias("b")).distinct()
@@ -353,6 +356,28 @@ def _blocks(rest: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("node", "block").alias("node"), "rep").distinct()
 
 
+def labelled(vertices: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, n, short, label) of all vertices; one without a label stands for itself."""
+    return vertices.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("rep", "n", "short", F.coalesce("label", "rep").alias("label"))
+
+
+def opposed(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, rep): blocks of large(node, rep) two by two, so that any two members with different labels(rep, label)
+    meet. The members of a node's most frequent label need not meet each other: if few others are left, the
+    rows grow with the members, and with their square only where a large node is not linked."""
+    half = SMALL // 2
+    members = large.select("node", "rep").join(labels.select("rep", "label"), "rep")
+    counts = members.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))
+    plan = materialize(
+        counts.filter("top.c < m").select("node", F.col("top.label").alias("mass"), F.expr(f"(m - top.c - 1) div {half} + 1").alias("q"), F.expr(f"(top.c - 1) div {half} + 1").alias("p")), "plan"
+    )
+    # blocks 0 to q - 1 hold the others and meet all blocks, the p blocks after them hold the most frequent label
+    member = members.join(maybe_broadcast(plan, 100_000), "node").withColumn("h", F.xxhash64("rep", "node"))
+    placed = member.select("node", "rep", "q", "p", F.when(F.col("label") == F.col("mass"), F.col("q") + F.expr("pmod(h, p)")).otherwise(F.expr("pmod(h, q)")).alias("x"))
+    meets = placed.select("node", "rep", "x", F.explode(F.expr("sequence(0L, q - 1 + IF(x < q, p, 0L))")).alias("y")).filter("x <> y")
+    return meets.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "rep")
+
+
 def _confirm(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,7 +423,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # one row for each distinct set: copies meet here, summed up before the shuffle
     least = full.groupBy("key").agg(F.min(F.struct("doc_id", "n", "sk")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.n", "x.sk")
     vertices = materialize(least.mapInArrow(_shortened, "key binary, rep bigint, n bigint, sk binary, short binary"), "vertices")
-    nodes = small_nodes(vertices)
+    nodes, large = small_nodes(vertices)
     pairs = materialize(candidates(nodes, vertices, percent), "pairs")
     links = materialize(confirmed(docs, pairs, k, percent), "links")
     found = components(links)
@@ -408,6 +433,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         more = materialize(across(nodes, docs, suspected, k, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             found = joined(vertices.select(F.col("rep").alias("v")), found, confirmed(docs, more, k, percent))
+    if large is not None:
+        every = labelled(vertices, found)
+        blocks = materialize(opposed(large, every), "blocks")
+        if not blocks.isEmpty():
+            met = materialize(every.join(blocks.select("rep").distinct(), "rep", "left_semi"), "suspects")
+            more = materialize(across(blocks, docs, met, k, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+            if not more.isEmpty():
+                found = joined(vertices.select(F.col("rep").alias("v")), found, confirmed(docs, more, k, percent))
     labels = vertices.join(found, vertices["rep"] == found["v"], "left").select("key", F.coalesce("label", "rep").alias("component_id"))
     out = prints.select("doc_id", F.col("n").alias("n_shingles"), "key").join(labels, "key", "left")
     component = F.coalesce("component_id", "doc_id")

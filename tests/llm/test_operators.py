@@ -164,6 +164,53 @@ def test_large_nodes_are_cut_into_blocks(spark, docs_of, monkeypatch):
     assert {r.component_id for r in minhash.near_duplicates(docs_of(texts), 2).collect()} == {0}
 
 
+def test_unlinked_families_meet_block_against_block(spark, docs_of, monkeypatch):
+    """Pairs of a family whose texts are alike, but not linked with each other nor with a leader."""
+    monkeypatch.setattr(minhash, "SMALL", 8)
+    monkeypatch.setattr(minhash, "DEPTH", 2)
+    monkeypatch.setattr(minhash, "TREES", 3)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for f in range(80):
+        w = list(base)
+        for at in rng.sample(range(400), 32):
+            w[at] = f"x{f}_{at}"
+        texts.append(" ".join(w))
+        w[rng.randrange(400)] = "y"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(texts), 2).collect()}
+    assert got == {i: i - i % 2 for i in range(160)}
+    rep = spark.createDataFrame([(i, i // 30 if i < 60 else i) for i in range(90)], "rep bigint, label bigint")
+    met = [{r.rep for r in rows} for rows in _by_node(minhash.opposed(rep.select(minhash.F.lit(1).cast("bigint").alias("node"), "rep"), rep))]
+    assert all(any({a, b} <= m for m in met) for a in range(90) for b in range(a) if (a // 30 if a < 60 else a) != (b // 30 if b < 60 else b))
+
+
+def _by_node(nodes):
+    out = {}
+    for r in nodes.collect():
+        out.setdefault(r.node, []).append(r)
+    return out.values()
+
+
+def test_depth_keeps_recall():
+    """A pair of similarity 0.8 still shares a node of one of the trees after DEPTH tokens."""
+    rng = np.random.default_rng(9)
+    pairs = 300
+    a = rng.integers(0, 1 << 16, (pairs, minhash.COORDS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.8, a, a + np.uint16(1))
+    sk = np.concatenate([a, b])
+    met = np.zeros(pairs, bool)
+    for tree in range(minhash.TREES):
+        node, at = np.full(2 * pairs, (tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64), np.arange(2 * pairs)
+        for depth in range(minhash.DEPTH):
+            node, at = minhash._descend(node, at, sk, depth >= minhash.FIRST_DEPTH)
+        own = set(zip(node[at < pairs].tolist(), at[at < pairs].tolist()))
+        for n, r in zip(node[at >= pairs].tolist(), at[at >= pairs].tolist()):
+            met[r - pairs] |= (n, r - pairs) in own
+    assert met.mean() >= 0.98
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)]
     got = {r.v: r.label for r in graph.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
