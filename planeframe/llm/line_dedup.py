@@ -3,7 +3,9 @@
 Documents that overlap are found through shared rare line hashes: a line of MIN_WORDS words, or two lines in
 a row, hardly ever recurs by chance. Of each such seed, every later document is paired with the earliest one
 that holds it, so that a group of m copies makes m - 1 pairs. Each pair is aligned by patience diff over line
-hashes, and aligned common blocks of at least MIN_WORDS words are deleted from the later document.
+hashes, and aligned common blocks of at least MIN_WORDS words are deleted from the later document. Blocks that
+no alignment in order reaches (repeated or swapped passages) are found by their windows: the shortest stretches
+of MIN_WORDS words from each line on and up to each line, which together cover any block of MIN_WORDS words.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from planeframe.llm import textkernel as K
 from planeframe.llm.common import materialize, maybe_broadcast, narrow
 
 #: Words of the shortest block that is deleted.
@@ -66,9 +69,38 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def windows(hashes: np.ndarray, words: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """text, start, end (exclusive) and hash of the shortest stretches of lines with `least` words that begin or
+    end at a line with words. The lines of text i are those from off[i] to off[i + 1]."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    at = np.flatnonzero(np.asarray(words) > 0)
+    text = np.searchsorted(off, at, "right") - 1
+    end = np.searchsorted(total, total[at] + least, "left")
+    start = np.searchsorted(total, total[at + 1] - least, "right") - 1
+    on, upto = end <= off[text + 1], start >= off[text]
+    text, start, end = np.concatenate([text[on], text[upto]]), np.concatenate([at[on], start[upto]]), np.concatenate([end[on], at[upto] + 1])
+    p, inv = K.powers(len(total))
+    rolled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(np.asarray(hashes, np.int64).view(np.uint64)) * p[: len(hashes)], dtype=np.uint64)])
+    return text, start, end, K.mix((rolled[end] - rolled[start]) * inv[start] + (end - start).astype(np.uint64))
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Lines of b inside aligned blocks (consecutive in both) of at least `least` words. Blank lines (0 words)
-    align like others, but do not count."""
+    """Lines of b inside common blocks (consecutive in both) of at least `least` words: first the aligned ones,
+    then all others. Blank lines (0 words) align like others, but do not count."""
+    out = aligned_blocks(a, b, words, least)
+    gone, held = set(out), set(a)
+    if not any(w and h in held and j not in gone for j, (h, w) in enumerate(zip(b, words))):
+        return out
+    count = dict(zip(b, words))  # a line that b has not is in no common window
+    _, _, _, first = windows(np.array(a), np.array([count.get(h, 0) for h in a]), np.array([0, len(a)]), least)
+    _, start, end, own = windows(np.array(b), np.array(words), np.array([0, len(b)]), least)
+    for s, e in zip(start[np.isin(own, first)].tolist(), end[np.isin(own, first)].tolist()):
+        gone.update(range(s, e))
+    return sorted(gone)
+
+
+def aligned_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
+    """Lines of b inside blocks of the patience diff."""
     out: list[int] = []
     block: list[int] = []
     before = (-2, -2)

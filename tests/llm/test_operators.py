@@ -246,6 +246,32 @@ def test_line_dedup(spark, docs_of, edge):
     assert got[7].text is None and got[8].text == ""
 
 
+def test_repeated_and_swapped_blocks():
+    """All lines of the later text in any common block of the words, however often and in whichever order."""
+    words = lambda lines: [9 if x else 0 for x in lines]
+    p, q = [1, 2, 0, 3], [4, 5, 6, 7]
+    for a, b, want in [
+        ([91, *p, 92], [81, *p, 82, *p, 83], [1, 2, 3, 4, 6, 7, 8, 9]),
+        ([91, *p, 92, *p, 93], [81, *p, 82], [1, 2, 3, 4]),
+        ([*p, 91, *q], [*q, 81, *p], [0, 1, 2, 3, 5, 6, 7, 8]),
+        ([91, 1, 2, 92], [81, 1, 2, 82], []),
+    ]:
+        assert line_dedup.common_blocks(a, b, words(b), 25) == want
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.randrange(1, 6) for _ in range(rng.randrange(30))] for _ in range(2))
+        count = [0, 3, 9, 26, 12, 7]
+        got, runs = set(line_dedup.common_blocks(a, b, [count[x] for x in b], 25)), set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if sum(count[x] for x in b[j : j + n]) >= 25:
+                    runs.update(range(j, j + n))
+        assert got == runs
+
+
 def test_decontamination(spark, docs_of, edge):
     item = " ".join(f"t{i}" for i in range(30))
     w = item.split()
