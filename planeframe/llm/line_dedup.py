@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through shared rare line hashes: a line of MIN_WORDS words, or two lines in
-a row, hardly ever recurs by chance. Of each such seed, every later document is paired with the earliest one
-that holds it, so that a group of m copies makes m - 1 pairs. Each pair is aligned by patience diff over line
+Documents that overlap are found through shared rare line hashes: a stretch of lines with MIN_WORDS words
+hardly ever recurs by chance. Of each such seed, every later document is paired with the earliest one that
+holds it, so that each block has its seeds' holders to be compared with, and so that a group of m copies makes m - 1 pairs. Each pair is aligned by patience diff over line
 hashes, and aligned common blocks of at least MIN_WORDS words are deleted from the later document. Blocks that
 no alignment in order reaches (repeated or swapped passages) are found by their windows: the shortest stretches
 of MIN_WORDS words from each line on and up to each line, which together cover any block of MIN_WORDS words.
@@ -129,6 +129,24 @@ def _align(least: int):
     return work
 
 
+def _seeds(least: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lines = batch.column(2)
+            off = lines.offsets.to_numpy().astype(np.int64)
+            text, _, _, seed = windows(lines.flatten().to_numpy(), batch.column(3).flatten().to_numpy(), off - off[0], least)
+            order = np.lexsort((seed, text))
+            text, seed = text[order], seed[order]
+            new = np.ones(len(seed), bool)
+            new[1:] = (text[1:] != text[:-1]) | (seed[1:] != seed[:-1])
+            at = pa.array(text[new])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(seed[new].view(np.int64))], ["doc_id", "tk", "seed"])
+
+    return work
+
+
 def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, tk, gone): the lines (from 0) to delete, for the documents that lose any. tk is xxhash64(text)."""
     rows = narrow(docs, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -142,12 +160,7 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         ),
         "lines",
     )
-    n = F.size("hashes")
-    single = F.transform("hashes", lambda h, i: F.when(F.get("words", i) >= least, h))
-    double = F.transform(
-        "hashes", lambda h, i: F.when((i + 1 < n) & (F.get("words", i) > 0) & (F.get("words", i + 1) > 0), F.xxhash64(h, F.get("hashes", i + 1)))
-    )
-    seeds = table.select("doc_id", "tk", F.explode(F.array_distinct(F.array_compact(F.concat(single, double)))).alias("seed"))
+    seeds = table.mapInArrow(_seeds(least), "doc_id bigint, tk bigint, seed bigint")
     # the earliest holder of each shared seed: a minimum and two counts per task, before any shuffle
     first = (
         seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "tk")).alias("f"), F.max(F.struct("doc_id", "tk")).alias("l")).filter("f < l").select("seed", "f")

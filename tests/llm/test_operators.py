@@ -272,6 +272,16 @@ def test_repeated_and_swapped_blocks():
         assert got == runs
 
 
+def test_every_block_has_a_seed(spark, docs_of):
+    short = [" ".join(f"s{i}_{j}" for j in range(10)) for i in range(6)]
+    spaced = "\n\n".join(short)
+    l1, l2, l3 = (" ".join(f"l{i}_{j}" for j in range(9)) for i in range(3))
+    wide = " ".join(f"wide{j}" for j in range(30))
+    texts = ["a1\n" + spaced, "own\n" + spaced + "\nend", f"{l1}\n{l2}\nx", f"y\n{l2}\n{l3}", f"b\n{l1}\n{l2}\n{l3}", f"c\n{l1}\n{l2}\n{l3}\nd", wide, f"e\n{wide}\n{l1}\nf", f"g\n{wide}\n{l1}\nh"]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(texts)).collect()}
+    assert [got[i] for i in range(9)] == [texts[0], "own\nend", texts[2], texts[3], texts[4], "c\nd", wide, f"e\n{l1}\nf", "g\nh"]
+
+
 def test_decontamination(spark, docs_of, edge):
     item = " ".join(f"t{i}" for i in range(30))
     w = item.split()
