@@ -15,8 +15,21 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: The method's own proposal: two letters, two check digits, 11 to 30 more, perhaps in blocks.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Characters of an IBAN by country; fixed values.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_COUNTRIES = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+#: The method's own proposal: two letters, two check digits and as many more as the country's have, perhaps in
+#: blocks; for other letters 11 to 30 more, but not into what begins like an IBAN of one of the countries.
+IBAN = (
+    r"(?<![A-Za-z0-9])(?:"
+    + "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, names in IBAN_LENGTHS.items())
+    + rf"|(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!(?:{_COUNTRIES})[0-9]{{2}}))?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))"
+)
 
 #: Words before a span that raise its score, by kind (lower case); fixed values.
 CONTEXT = {

@@ -95,6 +95,13 @@ def test_pii_equals_brute_force(spark, docs_of, edge):
     assert (one.spans, one.n_iban, one.scores) == ("iban:12:39", 1, "0.9")
 
 
+def test_ibans_before_words_codes_and_amounts(spark, docs_of):
+    de, blocks, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    texts = [f"{de} Please pay", f"{de} EUR 500 due", f"{blocks} BIC COBADEFFXXX", f"{de} {gb} 12", f"REF ZZ12 {blocks} A", f"{de[:-1]}1 Please", f"{de}X"]
+    got = {r.doc_id: r.spans for r in pii.find(docs_of(texts)).collect()}
+    assert [",".join(x for x in got[i].split(",") if x.startswith("iban")) for i in range(7)] == ["iban:0:22", "iban:0:22", "iban:0:27", "iban:0:22,iban:23:45", "iban:9:36", "", ""]
+
+
 def secrets_brute(t):
     a = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
     out = [(m.start(), 0, m.end()) for m in a.finditer(t) if len(m[2]) >= 12]
