@@ -31,6 +31,7 @@ SILENT = frozenset("script style noscript template head title svg math iframe ob
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
 CONTAINERS = frozenset("html body main section div table tbody td center".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+HEAD_PARTS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: An open one of these ends where the next one begins (or another block, for p).
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in class, id or role that mark something other than the article.
@@ -80,6 +81,8 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag not in HEAD_PARTS:
+            self._end_head(tag == "body")
         if tag in VOID:
             if tag in ("br", "wbr") or tag not in BLOCKS:
                 if tag == "br":
@@ -101,6 +104,20 @@ class Lines(HTMLParser):
         aside = tag in ASIDE or tag not in ("html", "body", "article", "main") and marked(attrs)
         self.stack.append((tag, self.made, up[2] or tag in SILENT, up[3] or aside))
 
+    def _end_head(self, always: bool = False) -> None:
+        """An open head ends where what can't stand in it begins, and a body ends it in any case."""
+        if self.stack and (always or self.stack[-1][0] == "head"):
+            at = next((at for at, x in enumerate(self.stack) if x[0] == "head"), None)
+            if at is not None:
+                del self.stack[at:]
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """What follows <![ without a known section's name is a comment up to the next >, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def _close(self, tag: str, barrier: frozenset[str]) -> None:
         """Closes the innermost open `tag`, unless a barrier stands between."""
         for at in range(len(self.stack) - 1, -1, -1):
@@ -127,6 +144,8 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not (self.stack and self.stack[-1][2]):
             self.text.append(data)
 

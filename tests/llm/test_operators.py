@@ -316,6 +316,16 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_main_text_goes_on_after_odd_markup():
+    f = html_extract.main_text
+    assert f("<p>a</p><![x y]><p>b</p>") == "a\nb"
+    assert f("<p>if a <![ b</p><p>then this</p><p>and that</p>").endswith("and that")
+    assert f("<p>a</p><![%><p>b</p><![endif]><p>c</p>") == "a\nb\nc"
+    for head in ("<head><title>T</title><meta charset=x><body>", "<head><title>T</title><link rel=x>", "<head><style>p{}</style></head><body>"):
+        assert f(f"<html>{head}<p>all of the text</p><p>more</p></html>") == "all of the text\nmore"
+    assert f("<head><title>T</title>plain text") == "plain text"
+
+
 @pytest.mark.parametrize("shard", [8192, 40])
 def test_top_k_equals_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD_ROWS", shard)
