@@ -3,14 +3,13 @@
 The standard library's parser streams events, which become lines: one for each block of text, with the tags
 that stand in it and the path of elements around it. Each line's text-to-tag ratio is smoothed with a
 Gaussian, and a threshold (the median line's share of the spread) clusters lines into content and others. The
-region is the article element, if one holds content lines, else the smallest container that holds most of the
-content's text; inside it only what is marked as another kind of thing goes (menus, notices, comments, ...).
+region is the article elements that hold content lines, if there are any, else the smallest container that holds
+all content lines; inside it only what is marked as another kind of thing goes (menus, notices, comments, ...).
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -176,21 +175,14 @@ def main_text(html: str) -> str:
     if not kept:
         return ""
     high = content(kept)
-    mass: dict[int, int] = defaultdict(int)
-    every = 0
-    for (text, _, path, _), ok in zip(kept, high):
-        if ok:
-            every += len(text)
-            for e in path:
-                mass[e] += len(text)
-    named = [e for e in mass if parser.names[e] == "article"] or [e for e in mass if parser.names[e] == "main"]
-    if named:
-        inner = {e for e in named if not any(f in p and e in p and p.index(f) < p.index(e) for _, _, p, _ in kept for f in named if f != e)} if len(named) > 1 else set(named)
-        region = max(inner, key=lambda e: (mass[e], -e))
-    else:
-        # the deepest container with four fifths of the content's text; numbers grow with depth
-        region = max((e for e, m in mass.items() if 5 * m >= 4 * every and parser.names[e] in CONTAINERS), default=0)
-    return "\n".join(t for t, _, path, _ in kept if not region or region in path)
+    paths = [path for (_, _, path, _), ok in zip(kept, high) if ok]
+    regions: set[int] = set()
+    for name in ("article", "main"):  # the outermost ones
+        regions = regions or {e for path in paths if (e := next((e for e in path if parser.names[e] == name), 0))}
+    if not regions and paths:
+        # numbers grow with depth
+        regions = {max((e for e in set(paths[0]).intersection(*paths) if parser.names[e] in CONTAINERS), default=0)} - {0}
+    return "\n".join(t for t, _, path, _ in kept if not regions or regions.intersection(path))
 
 
 def extract(pages: DataFrame) -> DataFrame:

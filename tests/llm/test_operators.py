@@ -326,6 +326,12 @@ def test_main_text_goes_on_after_odd_markup():
     assert f("<head><title>T</title>plain text") == "plain text"
 
 
+def test_main_text_keeps_all_content():
+    lead, body = " ".join(["lead words"] * 9), " ".join(["body words"] * 50)
+    assert html_extract.main_text(f"<div class=wrap><h1>Title</h1><div class=lead>{lead}</div><div class=body>{body}</div></div>") == f"Title\n{lead}\n{body}"
+    assert html_extract.main_text(f"<body><p>x</p><article>{lead}</article><article>{body}<article>{lead}</article></article></body>") == f"{lead}\n{body}\n{lead}"
+
+
 @pytest.mark.parametrize("shard", [8192, 40])
 def test_top_k_equals_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD_ROWS", shard)
