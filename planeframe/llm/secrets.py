@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns propose candidates in each text. Hashes of the candidates are then counted over the whole corpus by
-distinct owners and repositories: what many owners hold is a widely copied example, what one or two hold and
+distinct owners and repositories: what many owners or repositories hold is a widely copied example, what few hold and
 looks random is a live-looking credential. Only hashes move; the counts are summed up before each shuffle.
 """
 
@@ -25,8 +25,8 @@ PROVIDER = (
 )
 PROVIDER_HINTS = ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "sk_test_", "xox", "AIza", "eyJ", "PRIVATE KEY"]
 
-#: Held by so many owners or more, a candidate is an example; a live-looking one has so many different characters.
-EXAMPLE_OWNERS, LIVE_CHARACTERS = 3, 8
+#: Held by so many owners or repositories or more, a candidate is an example; a live-looking one has so many different characters.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, LIVE_CHARACTERS = 3, 10, 8
 
 
 def _any(text: Column, hints: list[str]) -> Column:
@@ -44,9 +44,9 @@ def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     """Secrets in `text` of docs(doc_id, text, <owner>, <repository>), one row for each row.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256 (of the three base kinds' spans), spans (all spans),
-    n_live, live (the spans that look live, listed likewise) and owners (comma-joined, in the order of spans:
-    how many owners hold that value). Spans are kind:start:end in code points, end exclusive, by start, then
-    kind as in KINDS. A null text counts as empty; null ids stay null; all null owners count as one; repeated
+    n_live, live (the spans that look live, listed likewise), owners and repositories (comma-joined, in the order
+    of spans: how many owners and repositories hold that value). Spans are kind:start:end in code points, end exclusive, by start, then
+    kind as in KINDS. A null text counts as empty; null ids stay null; all null owners count as one, and so do null repositories; repeated
     rows give repeated rows; other columns are ignored.
     """
     rows = narrow(docs, *dict.fromkeys(["doc_id", "text", owner, repository]))
@@ -93,12 +93,12 @@ def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
         "secrets",
     )
     held = scanned.select("row", "owner", "repo", F.posexplode("found").alias("at", "x")).select("row", "owner", "repo", "at", "x.*")
-    by_owner = held.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    spread = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    owners, repositories = (held.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(n)) for c, n in (("owner", "owners"), ("repo", "repositories")))
+    spread = owners.join(repositories, "hash")
     judged = (
         held.join(spread, "hash")
         .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "owners", (F.col("random") & (F.col("owners") < EXAMPLE_OWNERS)).alias("live")))).alias("judged"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "owners", "repositories", (F.col("random") & (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES)).alias("live")))).alias("judged"))
     )
     out = scanned.join(judged, "row", "left")
     names = F.split("spans", ",")
@@ -112,5 +112,5 @@ def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
         "spans",
         F.coalesce(F.size(live), F.lit(0)).cast("bigint").alias("n_live"),
         F.coalesce(F.array_join(live, ","), F.lit("")).alias("live"),
-        F.coalesce(F.array_join(F.transform("judged", lambda j: j["owners"].cast("string")), ","), F.lit("")).alias("owners"),
+        *[F.coalesce(F.array_join(F.transform("judged", lambda j: j[n].cast("string")), ","), F.lit("")).alias(n) for n in ("owners", "repositories")],
     )

@@ -120,6 +120,13 @@ def test_secrets_equal_brute_force_and_tell_examples(spark, docs_of, edge):
     assert got[at].n_live == 1 and got[at + 1].n_live == 0 and set(got[at + 1].owners.split(",")) == {"3"}
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark):
+    rows = [(i, "token = 9f8a7b6c5d4e3f2a1b0c", "one") for i in range(12)] + [(20, 'API_KEY: "Zx9Qw8Er7Ty6"', "one"), (20, 'API_KEY: "Zx9Qw8Er7Ty6"', "two")]
+    got = secrets.find(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert {(r.n_live, r.owners.split(",")[0], r.repositories.split(",")[0]) for r in got if r.doc_id < 20} == {(0, "1", "12")}
+    assert {(r.n_live, r.owners, r.repositories) for r in got if r.doc_id == 20} == {(1, "2", "1")}
+
+
 def sets_brute(texts, k):
     out = {}
     for i, t in texts.items():
