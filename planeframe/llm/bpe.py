@@ -1,8 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes cuts each text into chunks whose places depend on content alone, so that a
-passage shared by documents gives the same chunks in each of them. A chunk is encoded once for each Python worker
-(the dictionary is bounded). Chunk joins are then repaired: the stretch around a cut is encoded again,
+passage shared by documents gives the same chunks in each of them. Each Python worker keeps the chunks met lately
+in a bounded dictionary, of which those that are met again stay, and puts others together from its words. Chunk joins are then repaired: the stretch around a cut is encoded again,
 widened until white space stands on both sides. The tokenizer drops white space and never lets a token
 reach over it, so there the pieces agree exactly with encoding the whole text.
 """
@@ -114,6 +114,7 @@ class Codec:
     def __init__(self, path: str):
         self.tokens = Tokens(path)
         self.chunks: dict[bytes, tuple[str, bytes, str] | str] = {}
+        self.old: dict[bytes, tuple[str, bytes, str] | str] = {}
 
     def _chunk(self, text: str, parts: list[str]) -> tuple[str, bytes, str] | str:
         """The chunk's first stretch, its inner words' ids, its last stretch; or all of it if no white space cuts it."""
@@ -127,10 +128,11 @@ class Codec:
         """The ids (little-endian 32 bits each) and the decoded text of every text."""
         where = np.unique(np.concatenate([cuts(body, off), off]))
         raw = body.tobytes()
-        if len(self.chunks) > MOST_CHUNKS:
-            self.chunks.clear()
+        if len(self.chunks) > MOST_CHUNKS // 2:  # of two generations the older one goes
+            self.old, self.chunks = self.chunks, {}
         bounds = where.tolist()
         pieces = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        self.chunks.update({p: self.old[p] for p in pieces if p in self.old and p not in self.chunks})
         new = {p: t for p in pieces if p not in self.chunks for t in (p.decode(),)}
         parts = {p: split_words(t) for p, t in new.items()}
         self.tokens.learn(set().union(*parts.values()))

@@ -32,6 +32,20 @@ def test_bpe_equals_the_library(spark, docs_of, edge):
         assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_keeps_hot_chunks(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_CHUNKS", 40)
+    codec, made = bpe.Codec(tokenizer("word_bpe_49k.json")), []
+    make = codec._chunk
+    monkeypatch.setattr(codec, "_chunk", lambda text, parts: made.append(text) or make(text, parts))
+    rng = random.Random(2)
+    hot = " ".join(f"hot{rng.randrange(999)}" for _ in range(3000))
+    for _ in range(12):
+        text = (hot + "\n" + " ".join(f"w{rng.randrange(999)}" for _ in range(3000))).encode()
+        list(codec.run(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+    inner = [t for t in made if t in hot]
+    assert len(inner) > 3 and len(inner) == len(set(inner))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts_equal_the_library(spark, docs_of, edge, name):
     path = tokenizer(name)
