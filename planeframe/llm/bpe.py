@@ -1,10 +1,13 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes cuts each text into chunks whose places depend on content alone, so that a
-passage shared by documents gives the same chunks in each of them. Each Python worker keeps the chunks met lately
-in a bounded dictionary, of which those that are met again stay, and puts others together from its words. Chunk joins are then repaired: the stretch around a cut is encoded again,
-widened until white space stands on both sides. The tokenizer drops white space and never lets a token
-reach over it, so there the pieces agree exactly with encoding the whole text.
+passage shared by documents gives the same chunks in each of them. A chunk is encoded once, as a text of its
+own, and its ids are looked up by a 128-bit digest wherever it stands again. Chunk joins are then repaired: a
+word that a cut parts is encoded again together with whole words on both sides, in a wider and wider stretch
+until the ids of those words agree exactly with what their chunks have for them.
+
+Beside the chunks stand the words met in new ones, in flat arrays. Both stores are bounded in bytes, belong to
+one task and go when it ends, so that a Python worker keeps the tokenizer alone between tasks.
 """
 
 from __future__ import annotations
@@ -12,85 +15,25 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from planeframe.llm import textkernel as K
-from planeframe.llm.common import narrow
+from planeframe.llm.common import narrow, released
 
 #: Bytes under the rolling hash, and the mean distance of its cuts (a power of two).
 WINDOW, MEAN_CHUNK = 16, 1024
-#: Entries after which a dictionary starts anew, and the longest word that is kept in it.
-MOST_WORDS, MOST_CHUNKS, LONGEST = 500_000, 4_000, 64
-
-#: White space of Unicode beyond ASCII's six, and separators that only str.split() drops.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
-
-
-def split_words(text: str) -> list[str]:
-    """The stretches between ASCII white space."""
-    if _ODD.search(text):
-        return [w for w in _ASCII_SPACE.split(text) if w]
-    return text.split()
+#: Bytes of the ids of each of two generations of chunks.
+CHUNK_BYTES = 4 << 20
+#: Words kept (about 36 bytes each with their slots), and the longest of them in bytes.
+SLOT_BITS, MOST_WORDS, LONGEST = 20, 600_000, 64
 
-
-class Tokens:
-    """Encodes words through a bounded dictionary: word -> ids as little-endian bytes."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.long: set[str] = set()
-        self.plain = self.tokenizer.decoder is None
-        self.names = np.array([self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(True))], object)
-
-    def learn(self, words: set[str]) -> None:
-        """Puts words into the dictionary. Of two generations the older one goes when the newer is full; words
-        that are met again move over, so that common words are never encoded anew."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MOST_WORDS // 2:
-            self.old, self.known = self.known, {}
-            new = list(words)
-        left = []
-        for w in new:
-            if (raw := self.old.get(w)) is None:
-                left.append(w)
-            else:
-                self.known[w] = raw
-        self.long.update(w for w in left if len(w) > LONGEST)
-        for at in range(0, len(left), 4096):
-            self.known.update(self.encoded(left[at : at + 4096]))
-
-    def encoded(self, words: list[str]) -> dict[str, bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = list(accumulate(map(len, ids), initial=0))
-        return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, ends, ends[1:])}
-
-    def forget_long(self) -> None:
-        """Words beyond LONGEST are not kept, so that the dictionary's size in bytes is bounded too."""
-        for w in self.long:
-            self.known.pop(w, None)
-        self.long.clear()
-
-    def decoded(self, raw: bytes) -> str:
-        """What decode() makes of the ids; without a decoder, tokens are joined by one space."""
-        ids = np.frombuffer(raw, "<u4")
-        if self.plain:
-            return " ".join(self.names[ids].tolist())
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+_TABLES = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 
 
 def cuts(body: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -108,73 +51,209 @@ def cuts(body: np.ndarray, off: np.ndarray) -> np.ndarray:
     return at[(body[at] & 0xC0) != 0x80]  # never inside a character
 
 
+class Words:
+    """Two hashes of a word -> its ids: open addressing over flat arrays, emptied when it is full."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.hashes = np.zeros((0, 2), np.uint64)
+        self.start = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each pair of hashes; -1 without one."""
+        out = np.full(len(h), -1, np.int64)
+        left, at = np.arange(len(h)), (h[:, 0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(left):
+            e = self.slots[at]
+            same = (e >= 0) & (self.hashes[e] == h[left]).all(1) if len(self.hashes) else np.zeros(len(e), bool)
+            out[left[same]] = e[same]
+            on = (e >= 0) & ~same
+            left, at = left[on], (at[on] + 1) & ((1 << SLOT_BITS) - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Entries that find() does not know; ids are those of all, n how many each has."""
+        if len(self.hashes) + len(h) > MOST_WORDS:
+            self.clear()
+            if len(h) > MOST_WORDS:
+                return
+        first = len(self.hashes)
+        self.hashes = np.concatenate([self.hashes, h])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
+        self.ids = np.concatenate([self.ids, ids])
+        left, at = np.arange(len(h)), (h[:, 0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = first + left[free]  # of two that want a slot one gets it
+            on = self.slots[at] != first + left
+            left, at = left[on], (at[on] + 1) & ((1 << SLOT_BITS) - 1)
+
+    def take(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _slices(self.ids, self.start[entries], self.start[entries + 1] - self.start[entries])
+
+
+def _slices(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of n values from each start, one after another, and n."""
+    ends = np.cumsum(n)
+    at = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+    return values[at], n
+
+
+@functools.cache
+def library(path: str):
+    """The tokenizer; a worker keeps it for its later tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t, t.decoder is None, [t.id_to_token(i) or "" for i in range(t.get_vocab_size(True))]
+
+
 class Codec:
-    """Encodes and decodes whole texts, chunk by chunk."""
+    """Encodes and decodes whole texts, chunk by chunk. `made` counts the chunks met and those encoded."""
 
     def __init__(self, path: str):
-        self.tokens = Tokens(path)
-        self.chunks: dict[bytes, tuple[str, bytes, str] | str] = {}
-        self.old: dict[bytes, tuple[str, bytes, str] | str] = {}
-
-    def _chunk(self, text: str, parts: list[str]) -> tuple[str, bytes, str] | str:
-        """The chunk's first stretch, its inner words' ids, its last stretch; or all of it if no white space cuts it."""
-        if len(parts) == 1 and len(parts[0]) == len(text):
-            return text
-        head = "" if text[:1] in _SPACES else parts.pop(0)
-        tail = "" if text[-1:] in _SPACES else parts.pop()
-        return head, b"".join(map(self.tokens.known.__getitem__, parts)), tail
+        self.tokenizer, self.plain, self.names = library(path)
+        self.words = Words()
+        #: digest -> the chunk's ids and how many each of its words has
+        self.chunks: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.old: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.held, self.met, self.made = 0, 0, 0
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and how many each has."""
+        ids, n = [], []
+        for at in range(0, len(texts), 4096):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+            n += map(len, got)
+            ids.append(np.fromiter(chain.from_iterable(got), np.int32))
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array(n, np.int64)
+
+    def decoded(self, ids: np.ndarray) -> str:
+        """What decode() makes of the ids; without a decoder, tokens are joined by one space."""
+        if self.plain:
+            return " ".join(map(self.names.__getitem__, ids.tolist()))
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+    def _texts(self, body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all words of the texts (stretches without ASCII white space), ids a word, first word of each text."""
+        starts, ends, first = K.word_bounds(body, off)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), first
+        h = np.stack([K.span_hashes(body, starts, ends, t) for t in _TABLES], 1)
+        _, one, of = np.unique(h[:, 0], return_index=True, return_inverse=True)
+        raw = body.tobytes()
+        if (h[one[of]] != h).any():  # two words with one hash: each word by itself
+            return *self.encoded([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]), first
+        entry = self.words.find(h[one])
+        new = one[entry < 0]
+        ids, n = self.encoded([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+        # known words' ids, then the new ones'
+        known, m = self.words.take(entry[entry >= 0])
+        count = np.empty(len(one), np.int64)
+        count[entry >= 0], count[entry < 0] = m, n
+        at = np.empty(len(one), np.int64)
+        at[entry >= 0], at[entry < 0] = np.cumsum(m) - m, len(known) + np.cumsum(n) - n
+        short = ends[new] - starts[new] <= LONGEST
+        self.words.add(h[new[short]], ids[np.repeat(short, n)], n[short])
+        return *_slices(np.concatenate([known, ids]), at[of], count[of]), first
+
+    def _remember(self, digest: bytes, chunk: tuple[np.ndarray, np.ndarray]) -> None:
+        size = chunk[0].nbytes + chunk[1].nbytes + 400
+        if self.held + size > CHUNK_BYTES:  # of two generations the older one goes
+            self.old, self.chunks, self.held = self.chunks, {}, 0
+        self.chunks[digest] = chunk
+        self.held += size
+
+    def _chunks(self, body: np.ndarray, where: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of every chunk; those that are not known are encoded, each of them once."""
+        raw, bounds = body.tobytes(), where.tolist()
+        digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+        run = {d: self.chunks.get(d) or self.old.get(d) for d in digests}
+        new = {d: i for i, d in enumerate(digests) if run[d] is None}
+        for d, c in run.items():
+            if c is not None and d not in self.chunks:
+                self._remember(d, c)
+        at = np.fromiter(new.values(), np.int64, len(new))
+        size = where[at + 1] - where[at]
+        part, _ = _slices(body, where[at], size)
+        ids, n, first = self._texts(part, np.concatenate([[0], np.cumsum(size)]))
+        total = np.concatenate([[0], np.cumsum(n)])
+        for d, a, b in zip(new, first[:-1].tolist(), first[1:].tolist()):
+            run[d] = ids[total[a] : total[b]].copy(), n[a:b].astype(np.int32)
+            self._remember(d, run[d])
+        self.met += len(digests)
+        self.made += len(new)
+        return [run[d] for d in digests]
 
     def run(self, body: np.ndarray, off: np.ndarray) -> Iterator[tuple[bytes, str]]:
         """The ids (little-endian 32 bits each) and the decoded text of every text."""
         where = np.unique(np.concatenate([cuts(body, off), off]))
-        raw = body.tobytes()
-        if len(self.chunks) > MOST_CHUNKS // 2:  # of two generations the older one goes
-            self.old, self.chunks = self.chunks, {}
-        bounds = where.tolist()
-        pieces = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        self.chunks.update({p: self.old[p] for p in pieces if p in self.old and p not in self.chunks})
-        new = {p: t for p in pieces if p not in self.chunks for t in (p.decode(),)}
-        parts = {p: split_words(t) for p, t in new.items()}
-        self.tokens.learn(set().union(*parts.values()))
-        self.chunks.update({p: self._chunk(t, parts[p]) for p, t in new.items()})
-        first = np.searchsorted(where, off).tolist()
-        texts, joins = [], set()
-        for a, b in zip(first[:-1], first[1:]):
-            out, open_ = [], ""
-            for p in pieces[a:b]:
-                c = self.chunks[p]
-                if isinstance(c, str):
-                    open_ += c
-                    continue
-                if word := open_ + c[0]:
-                    out.append(word)
-                    joins.add(word)
-                out.append(c)
-                open_ = c[2]
-            if open_:
-                out.append(open_)
-                joins.add(open_)
-            texts.append(out)
-        mended = self._mended(joins)
-        self.tokens.forget_long()
-        for out in texts:
-            raw = b"".join([mended[x] if isinstance(x, str) else x[1] for x in out])
-            yield raw, self.tokens.decoded(raw)
-
-    def _mended(self, joins: set[str]) -> dict[str, bytes]:
-        known = self.tokens.known
-        out = {w: known[w] for w in joins if w in known}
-        left = [w for w in joins if w not in out]
-        return out | self.tokens.encoded(left)
-
-
-@functools.cache
-def worker_codec(path: str) -> Codec:
-    """One for each Python worker, which serves many tasks: later tasks find the chunks and words of earlier ones."""
-    return Codec(path)
-
+        chunks = self._chunks(body, where)
+        ids = np.concatenate([c[0] for c in chunks]) if chunks else np.zeros(0, np.int32)
+        n = np.concatenate([c[1] for c in chunks]).astype(np.int64) if chunks else np.zeros(0, np.int64)
+        # cuts inside a word of a text, the words of texts that they part, and the parts in the chunks
+        inner = np.setdiff1d(where, off)
+        inner = inner[~K.WHITE[body[inner - 1]] & ~K.WHITE[body[inner]]]
+        starts, ends, first = K.word_bounds(body, off)
+        if len(inner):
+            part_starts, part_ends, _ = K.word_bounds(body, where)
+            same = ~np.isin(part_starts, inner) & ~np.isin(part_ends, inner)
+            ids, n = self._mended(body, starts, ends, first, np.unique(np.searchsorted(starts, inner, "right") - 1), ids[np.repeat(same, n)], n[same])
+        total = np.concatenate([[0], np.cumsum(n)])[first]
+        for a, b in zip(total[:-1].tolist(), total[1:].tolist()):
+            yield ids[a:b].astype("<u4").tobytes(), self.decoded(ids[a:b])
+
+    def _mended(self, body, starts, ends, first, broken, ids, n) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids and how many each has, from those of the words that no cut parts.
+
+        Broken words are encoded again with whole words on both sides, until these get the ids that their chunks
+        have for them; a stretch that reaches from end to end of its text needs no such neighbour."""
+        whole = np.ones(len(starts), bool)
+        whole[broken] = False
+        count = np.zeros(len(starts), np.int64)
+        count[whole] = n
+        at = np.cumsum(count) - count
+        raw, mended = body.tobytes(), {}
+        margin, text = 1, np.searchsorted(first, broken, "right") - 1
+        while len(broken):
+            # broken words with fewer than `margin` whole ones between them are mended together
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(broken) > margin) | (np.diff(text) > 0)]))
+            a, b, of = broken[new], broken[np.append(new[1:], len(broken)) - 1] + 1, text[new]
+            left, right = np.maximum(a - margin, first[of]), np.minimum(b + margin, first[of + 1])
+            got, m = self.encoded([raw[x:y].decode() for x, y in zip(starts[left].tolist(), ends[right - 1].tolist())])
+            wrong = set()
+            for a, b, left, right, t, ids_end, m in zip(*(x.tolist() for x in (a, b, left, right, of, np.cumsum(m), m))):
+                one = got[ids_end - m : ids_end]
+                before, after = ids[at[left] : at[a]], ids[at[b - 1] : at[b - 1] + int(count[b:right].sum())]
+                if len(before) + len(after) <= m and (one[: len(before)] == before).all() and (one[m - len(after) :] == after).all():
+                    mended[a] = b, one[len(before) : m - len(after)]
+                elif (left, right) == (first[t], first[t + 1]):
+                    mended[left] = right, one
+                else:
+                    wrong.add(t)
+            again = np.isin(text, list(wrong))
+            for w in broken[again].tolist():
+                mended.pop(w, None)
+            broken, text, margin = broken[again], text[again], margin * 4
+        keep = np.ones(len(starts), bool)
+        was = count.copy()
+        for a, (b, one) in mended.items():
+            keep[a:b] = False
+            count[a:b] = 0
+            count[a] = len(one)
+        every = np.empty(int(count.sum()), np.int32)
+        inside = np.repeat(keep, count)
+        every[inside] = ids[np.repeat(keep, was)]
+        every[~inside] = np.concatenate([mended[a][1] for a in sorted(mended)])
+        return every, count
 
-_SPACES = frozenset(" \t\n\r\f\v")
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -183,12 +262,13 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """Encodes and decodes `text` of docs(doc_id, text) with the tokenizer file at `path`, one row for each row.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256; with keep_ids also ids (array of int) and decoded.
-    A null text counts as empty: 0 tokens, hashes of nothing. A null doc_id stays null; repeated rows give
-    repeated rows; other columns are ignored. No row order is implied.
+    The tokenizer must drop ASCII white space and let no token reach over it. A null text counts as empty: 0
+    tokens, hashes of nothing. A null doc_id stays null; repeated rows give repeated rows; other columns are
+    ignored, also those whose names differ in case only. No row order is implied.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(path)
+        codec = Codec(path)
         for batch in batches:
             body, off = K.utf8(batch.column(1))
             for a, b in K.runs(off):
@@ -208,5 +288,5 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return narrow(docs, "doc_id", "text").selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(
-        work, SCHEMA + (", ids array<int>, decoded string" if keep_ids else "")
+        released(work), SCHEMA + (", ids array<int>, decoded string" if keep_ids else "")
     )

@@ -85,11 +85,14 @@ def word_bounds(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges: equal bytes give equal hashes wherever they stand."""
+_PLUS_ONE = np.arange(1, 257, dtype=np.uint64)
+
+
+def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _PLUS_ONE) -> np.ndarray:
+    """64-bit hashes of the byte ranges: equal bytes give equal hashes wherever they stand. values: of each byte."""
     p, inv = powers(len(body) + 1)
     total = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * p[: len(body)], out=total[1:])
+    np.cumsum(values[body] * p[: len(body)], out=total[1:])
     raw = (total[ends] - total[starts]) * inv[starts]
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
