@@ -1,11 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through shared rare line hashes: a stretch of lines with MIN_WORDS words
-hardly ever recurs by chance. Of each such seed, every later document is paired with the earliest one that
-holds it, so that each block has its seeds' holders to be compared with, and so that a group of m copies makes m - 1 pairs. Each pair is aligned by patience diff over line
-hashes, and aligned common blocks of at least MIN_WORDS words are deleted from the later document. Blocks that
-no alignment in order reaches (repeated or swapped passages) are found by their windows: the shortest stretches
-of MIN_WORDS words from each line on and up to each line, which together cover any block of MIN_WORDS words.
+Documents that overlap are found through shared rare line hashes. A seed is the hash of a shortest stretch of
+lines with MIN_WORDS words: it is rare because it is long, and there is no cap on how often it occurs. Holders are
+counted over the whole corpus, and every later document is paired with the earliest holder of each of its seeds,
+so that each block has its seeds' holders to be compared with, and so that a group of m copies makes m - 1 pairs.
+The lines of a first document with many pairs are sent in one copy for each HOLDERS pairs, so that no task gets
+them all.
+
+Each pair is aligned by patience diff over line hashes, and aligned common blocks of at least MIN_WORDS words are
+deleted from the later document. Blocks that no alignment in order reaches (repeated or swapped passages) are
+found by their windows: the shortest stretches of MIN_WORDS words from each line on and up to each line, which
+together cover any block of MIN_WORDS words.
 """
 
 from __future__ import annotations
@@ -19,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from planeframe.llm import textkernel as K
-from planeframe.llm.common import materialize, maybe_broadcast, narrow
+from planeframe.llm.common import flat, materialize, maybe_broadcast, narrow, place, released
 
 #: Words of the shortest block that is deleted.
 MIN_WORDS = 25
+#: Pairs with one first document that are aligned with one copy of its lines.
+HOLDERS = 64
+#: Line numbers (4 bytes each) up to which the deletions are broadcast.
+BROADCAST_LINES = 4_000_000
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -160,11 +169,9 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         ),
         "lines",
     )
-    seeds = table.mapInArrow(_seeds(least), "doc_id bigint, tk bigint, seed bigint")
-    # the earliest holder of each shared seed: a minimum and two counts per task, before any shuffle
-    first = (
-        seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "tk")).alias("f"), F.max(F.struct("doc_id", "tk")).alias("l")).filter("f < l").select("seed", "f")
-    )
+    seeds = table.mapInArrow(released(_seeds(least)), "doc_id bigint, tk bigint, seed bigint")
+    # the earliest holder of each seed that several documents hold: partial aggregates before any shuffle
+    first = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "tk")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("seed", "f")
     pairs = materialize(
         seeds.join(first, "seed")
         .select("doc_id", "tk", F.col("f.doc_id").alias("fd"), F.col("f.tk").alias("ft"))
@@ -172,14 +179,21 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         .distinct(),
         "pairs",
     )
-    holders = pairs.select("fd", "ft").distinct()
+    # a first document with many pairs is sent once for each HOLDERS of them
+    copies = materialize(pairs.groupBy("fd", "ft").agg(F.expr(f"(count(*) - 1) div {HOLDERS} + 1").alias("copies")), "holders")
+    hot = maybe_broadcast(copies.filter("copies > 1"))
+    dealt = pairs.join(hot, ["fd", "ft"], "left").withColumn("copy", F.expr("IF(copies IS NULL, 0L, pmod(xxhash64(doc_id, tk), copies))"))
     one = table.dropDuplicates(["doc_id", "tk"])  # repeated rows
-    front = one.join(holders, (one["doc_id"] == holders["fd"]) & (one["tk"] == holders["ft"])).select("fd", "ft", F.col("hashes").alias("first"))
+    front = (
+        one.join(copies, (one["doc_id"] == copies["fd"]) & (one["tk"] == copies["ft"]))
+        .select("fd", "ft", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"), F.col("hashes").alias("first"))
+    )
     return (
-        pairs.join(front, ["fd", "ft"])
+        dealt.select("fd", "ft", "copy", "doc_id", "tk")
+        .join(front, ["fd", "ft", "copy"])
         .join(one, ["doc_id", "tk"])
         .select("doc_id", "tk", "first", "hashes", "words")
-        .mapInArrow(_align(least), "doc_id bigint, tk bigint, gone array<int>")
+        .mapInArrow(released(_align(least)), "doc_id bigint, tk bigint, gone array<int>")
         .groupBy("doc_id", "tk")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     )
@@ -187,24 +201,25 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of docs, with blocks of lines that an earlier document holds removed from `text`,
-    and three more columns at the end: _n_lines, _n_removed, _removed (array of line numbers from 0).
+    and three more columns at the end: _n_lines, _n_removed, _removed (array of line numbers from 0). Where docs
+    has columns of these names, take the new ones by their place.
 
     Lines end at a line feed and compare with white space runs as one space, trimmed. Earlier means a smaller
     doc_id. A document keeps what stands nowhere before; one whose lines all go keeps an empty text. Null and
     empty texts and rows with a null doc_id stay as they are; rows that repeat a doc_id and text lose the same
-    lines, of rows with one doc_id and several texts the smaller text hash counts as earlier.
+    lines, of rows with one doc_id and several texts the smaller text hash counts as earlier. doc_id and text may
+    differ in case; of columns that repeat a name the first counts. An empty table gives an empty table.
     """
-    gone = materialize(deletions(docs, least), "deletions")
-    at = {n: [i for i, c in enumerate(docs.columns) if c == n][0] for n in ("doc_id", "text")}
-    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    d, t = F.col(f"c{at['doc_id']}"), F.col(f"c{at['text']}")
-    side = maybe_broadcast(gone.select(F.col("doc_id").alias("gd"), F.col("tk").alias("gt"), "gone"), 100_000)
-    joined = flat.join(side, (d.cast("bigint") == F.col("gd")) & (F.xxhash64(t) == F.col("gt")), "left")
-    left = F.array_join(F.filter(F.split(t, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    cols = [
-        (F.when(F.col("gone").isNull(), t).otherwise(left) if i == at["text"] else F.col(f"c{i}")).alias(f"c{i}") for i in range(len(docs.columns))
-    ]
-    lines = F.when(t.isNull(), 0).otherwise(F.size(F.split(t, "\n"))).cast("bigint")
+    gone = materialize(deletions(docs, least).select(F.col("doc_id").alias("gd"), F.col("tk").alias("gt"), "gone"), "deletions")
+    lines_gone = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    rows, text = flat(docs), f"c{place(docs, 'text')}"
+    d, t = F.col(f"c{place(docs, 'doc_id')}"), F.col(text)
+    side = maybe_broadcast(gone, 100_000) if lines_gone <= BROADCAST_LINES else gone
+    joined = rows.join(side, (d.cast("bigint") == F.col("gd")) & (F.xxhash64(t) == F.col("gt")), "left")
+    every = F.split(t, "\n")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("gone")), lambda i: F.get(every, i))
+    cols = [F.when(F.col("gone").isNull(), t).otherwise(F.array_join(left, "\n")).alias(c) if c == text else F.col(c) for c in rows.columns]
+    lines = F.when(t.isNull(), 0).otherwise(F.size(every)).cast("bigint")
     removed = F.coalesce(F.col("gone"), F.expr("CAST(array() AS array<int>)"))
     return joined.select(*cols, lines.alias("n1"), F.size(removed).cast("bigint").alias("n2"), removed.alias("n3")).toDF(
         *docs.columns, "_n_lines", "_n_removed", "_removed"
