@@ -1,24 +1,29 @@
 """Main text of web pages.
 
 The standard library's parser streams events, which become lines: one for each block of text, with the tags
-that stand in it and the path of elements around it. Each line's text-to-tag ratio is smoothed with a
-Gaussian, and a threshold (the median line's share of the spread) clusters lines into content and others. The
-region is the article elements that hold content lines, if there are any, else the smallest container that holds
-all content lines; inside it only what is marked as another kind of thing goes (menus, notices, comments, ...).
+that stand in it and the path of elements around it. Each line's text-to-tag ratio is smoothed with a Gaussian,
+and a threshold (one standard deviation) clusters lines into content and others. The clusters select the regions:
+the article elements that hold content lines, if there are any, else the smallest container that holds all content
+lines, without the lists and tables in it that hold no content line beside links and are links for the most part.
+Inside regions all text stays, as short lines of an article have low ratios too, but for what is marked
+as another kind of thing: elements made for it (nav, aside, form, ...) and classes whose names say so. A name that may
+also stand for content (`legal-analysis`) needs the clusters to agree: most of the element's text is not content.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from planeframe.llm import textkernel as K
-from planeframe.llm.common import narrow
+from planeframe.llm.common import narrow, released
 
 # Elements of HTML by their role.
 BLOCKS = frozenset(
@@ -29,44 +34,63 @@ BLOCKS = frozenset(
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video map textarea select option button datalist".split())
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
 CONTAINERS = frozenset("html body main section div table tbody td center".split())
+LISTS = frozenset("ul ol dl dir table".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEAD_PARTS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: An open one of these ends where the next one begins (or another block, for p).
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in class, id or role that mark something other than the article.
+#: Words in class, id or role that mark something other than the article; fixed values.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe signup paywall share sharing social nav navbar navigation navigator menu menubar breadcrumb breadcrumbs "
-    "pagination pager sidebar aside widget widgets related recommended recommendations footer header masthead topbar toolbar comment comments commentlist "
-    "respond reply replies disqus form search login copyright legal disclaimer skip hidden contentinfo complementary".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr "
+    "popup modal overlay newsletter share sharing social nav navbar navigation navigator menu menubar breadcrumb breadcrumbs "
+    "pagination pager sidebar widget widgets recommended recommendations masthead topbar toolbar comment comments commentlist "
+    "disqus contentinfo complementary".split()
 )
+#: The same for words that mark so by themselves, but may stand for content beside others.
+WEAK = frozenset("notice notices alert subscribe signup paywall aside related footer header respond reply replies form search login copyright legal disclaimer skip hidden".split())
 _WORDS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 SIGMA, RADIUS = 1.0, 2
 
 
-def marked(attrs: list[tuple[str, str | None]]) -> bool:
+def marked(attrs: list[tuple[str, str | None]]) -> int:
+    """2 if the attributes mark something other than the article, 1 if they may, 0 if they don't."""
+    most = 0
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            if MARKS.intersection(_WORDS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-                return True
+            for token in value.split():
+                words = set(_WORDS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower())) - {""}
+                if words & MARKS or words and words <= WEAK:
+                    return 2
+                most = max(most, int(bool(words & WEAK)))
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 2
+    return most
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    path: tuple[int, ...]
+    kept: bool  # not inside what is marked as another kind of thing
+    links: int  # characters inside links
+    anchors: int  # links that begin in it
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, path, kept): kept is False inside what is marked as another kind of thing."""
+    """Collects the lines, the names of the elements in their paths, and which of these may be marked."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool, bool]] = []  # name, number, silent, aside
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[Line] = []
         self.names: dict[int, str] = {}
+        self.weak: set[int] = set()
         self.text: list[str] = []
+        self.links = self.anchors = 0
         self.tags = 0
         self.made = 0
 
@@ -74,9 +98,9 @@ class Lines(HTMLParser):
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.lines.append((text, max(1, self.tags), tuple(x[1] for x in self.stack), not any(x[3] for x in self.stack)))
+                self.lines.append(Line(text, max(1, self.tags), tuple(x[1] for x in self.stack), not any(x[3] for x in self.stack), self.links, self.anchors))
                 self.tags = 0
-            self.text = []
+            self.text, self.links, self.anchors = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -96,12 +120,15 @@ class Lines(HTMLParser):
             if tag in ENDS_ITSELF:
                 for other in ENDS_ITSELF[tag]:
                     self._close(other, frozenset({"ul", "ol", "dl", "table", "tr" if tag in ("td", "th") else "table", "select"}))
+        self.anchors += tag == "a"
         up = self.stack[-1] if self.stack else ("", 0, False, False)
         self.made += 1
         self.names[self.made] = tag
         # an article or main element may be called anything; the page's own elements hold the article
-        aside = tag in ASIDE or tag not in ("html", "body", "article", "main") and marked(attrs)
-        self.stack.append((tag, self.made, up[2] or tag in SILENT, up[3] or aside))
+        mark = 2 if tag in ASIDE else 0 if tag in ("html", "body", "article", "main") else marked(attrs)
+        if mark == 1:
+            self.weak.add(self.made)
+        self.stack.append((tag, self.made, up[2] or tag in SILENT, up[3] or mark == 2))
 
     def _end_head(self, always: bool = False) -> None:
         """An open head ends where what can't stand in it begins, and a body ends it in any case."""
@@ -147,15 +174,17 @@ class Lines(HTMLParser):
             self._end_head()
         if not (self.stack and self.stack[-1][2]):
             self.text.append(data)
+            if any(x[0] == "a" for x in self.stack):
+                self.links += len(data.strip())
 
     def close(self) -> None:
         super().close()
         self.flush()
 
 
-def content(lines: list[tuple[str, int, tuple[int, ...], bool]]) -> np.ndarray:
+def content(lines: list[Line]) -> np.ndarray:
     """Which lines have a high smoothed text-to-tag ratio."""
-    ratio = np.array([len(t) / n for t, n, _, _ in lines], float)
+    ratio = np.array([len(x.text) / x.tags for x in lines], float)
     reach = np.arange(-RADIUS, RADIUS + 1)
     kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
     weight = np.convolve(np.ones(len(ratio)), kernel, "full")[RADIUS:-RADIUS]
@@ -171,18 +200,27 @@ def main_text(html: str) -> str:
         parser.close()
     except AssertionError:  # the parser's own complaint about a broken declaration: keep what was read
         parser.flush()
-    kept = [x for x in parser.lines if x[3]]
-    if not kept:
+    lines = [x for x in parser.lines if x.kept]
+    if not lines:
         return ""
-    high = content(kept)
-    paths = [path for (_, _, path, _), ok in zip(kept, high) if ok]
+    high = content(lines).tolist()
+    size, inside, links = Counter(), Counter(), Counter()  # of each element: characters, in content lines that are not links, in links
+    for x, ok in zip(lines, high):
+        for e in x.path:
+            size[e] += len(x.text)
+            inside[e] += (ok and 2 * x.links < len(x.text)) * len(x.text)
+            links[e] += x.links
+    paths = [x.path for x, ok in zip(lines, high) if ok]
     regions: set[int] = set()
     for name in ("article", "main"):  # the outermost ones
         regions = regions or {e for path in paths if (e := next((e for e in path if parser.names[e] == name), 0))}
-    if not regions and paths:
-        # numbers grow with depth
-        regions = {max((e for e in set(paths[0]).intersection(*paths) if parser.names[e] in CONTAINERS), default=0)} - {0}
-    return "\n".join(t for t, _, path, _ in kept if not regions or regions.intersection(path))
+    gone = {e for e in parser.weak if 2 * inside[e] < size[e]}
+    if not regions:
+        if paths:  # numbers grow with depth
+            regions = {max((e for e in set(paths[0]).intersection(*paths) if parser.names[e] in CONTAINERS), default=0)} - {0}
+        gone |= {e for e in size if parser.names[e] in LISTS and not inside[e] and 2 * links[e] >= size[e]}
+        lines = [x for x in lines if x.anchors < 2 or 5 * x.links < 4 * len(x.text)]  # links in a row
+    return "\n".join(x.text for x in lines if (not regions or regions.intersection(x.path)) and not gone.intersection(x.path))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -204,4 +242,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 )
 
     rows = narrow(pages, "page_id", "url", "html").selectExpr("CAST(page_id AS BIGINT) page_id", "url", "html")
-    return rows.mapInArrow(work, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.mapInArrow(released(work), "page_id bigint, url string, text string, n_chars bigint")
