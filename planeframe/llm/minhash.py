@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from planeframe.llm import textkernel as K
-from planeframe.llm.common import materialize, maybe_broadcast, narrow
+from planeframe.llm.common import materialize, maybe_broadcast, narrow, released
 from planeframe.llm.graph import components, joined
 
 COORDS, TREES, SMALL, FIRST_DEPTH, DEPTH, LEADERS, LONG = 128, 14, 2048, 2, 14, 4, 896
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n", "key", "sk"],
                 )
 
-    return docs.mapInArrow(work, "doc_id bigint, n bigint, key binary, sk binary")
+    return docs.mapInArrow(released(work), "doc_id bigint, n bigint, key binary, sk binary")
 
 
 def _child(node: np.ndarray, coord: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -279,7 +279,7 @@ def _pairs(out: set | list, across: bool) -> pa.RecordBatch:
 def small_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(node, rep) of vertices(rep, n, sk): the members of the small nodes of all trees, and those of the nodes
     that stay large, if there are any."""
-    level = materialize(vertices.select("rep", "sk").mapInArrow(_roots, _NODE), "nodes")
+    level = materialize(vertices.select("rep", "sk").mapInArrow(released(_roots), _NODE), "nodes")
     depth, small, large = FIRST_DEPTH, [], None
     while True:
         sizes = materialize(level.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
@@ -294,7 +294,7 @@ def small_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             break
         if depth == FIRST_DEPTH:  # from here on, the members of large nodes bring their sketches along
             rest = rest.join(vertices.select("rep", "sk"), "rep")
-        level = materialize(rest.select("node", "rep", "sk").mapInArrow(_deeper, _NODE + ", sk binary"), "nodes")
+        level = materialize(rest.select("node", "rep", "sk").mapInArrow(released(_deeper), _NODE + ", sk binary"), "nodes")
         depth += 2
     nodes = small[0]
     for s in small[1:]:
@@ -307,7 +307,7 @@ def candidates(nodes: DataFrame, vertices: DataFrame, percent: int) -> DataFrame
     members = nodes.join(vertices.select("rep", "n", "short"), "rep").select("node", "rep", "n", "short", F.col("rep").alias("label"))
     # nodes are small: a task holds one at a time, and hashing them spreads the rows evenly
     dealt = members.repartition("node").sortWithinPartitions("node", "rep")
-    return dealt.mapInArrow(_compare(percent, False), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(released(_compare(percent, False)), "a bigint, b bigint").distinct()
 
 
 def suspects(vertices: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -331,14 +331,14 @@ def across(nodes: DataFrame, docs: DataFrame, suspected: DataFrame, k: int, perc
 
     rows = docs.join(few, docs["doc_id"] == few["rep"]).select("rep", "text")
     # a doc_id that repeats with other texts meets the sketches of all of them, which can only add pairs
-    sketches = rows.mapInArrow(work, "rep bigint, more binary").distinct()
+    sketches = rows.mapInArrow(released(work), "rep bigint, more binary").distinct()
     known = materialize(suspected.join(sketches, "rep"), "sketches")
     mine = nodes.join(few, "rep", "left_semi")
     mixed = mine.join(suspected.select("rep", "label"), "rep").groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node")
     members = mine.join(mixed, "node", "left_semi").join(known, "rep").select("node", "rep", "n", "short", "label", "more")
     dealt = members.repartition("node").sortWithinPartitions("node", "rep")
     # each partner once for each tree until here
-    partners = dealt.mapInArrow(_compare(percent, True), "u bigint, partners array<bigint>")
+    partners = dealt.mapInArrow(released(_compare(percent, True)), "u bigint, partners array<bigint>")
     each = partners.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
     return each.select("u", F.explode("partners").alias("p")).select(F.least("u", "p").alias("a"), F.greatest("u", "p").alias("b")).distinct()
 
@@ -402,11 +402,21 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
             for a, b, sets in sets_of(batch, 1, k):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "words"])
 
-    sets = materialize(rows.mapInArrow(work, "rep bigint, words binary"), "sets")
+    sets = materialize(rows.mapInArrow(released(work), "rep bigint, words binary"), "sets")
     left = sets.select(F.col("rep").alias("a"), F.col("words").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("words").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_confirm(percent), "a bigint, b bigint")
+    return joined.mapInArrow(released(_confirm(percent)), "a bigint, b bigint")
+
+
+def shared_ids(full: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of one doc_id: full has (doc_id, key) of each row, vertices (key, rep)."""
+    several = full.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("doc_id")
+    several = materialize(several, "several")
+    rows = full.select("doc_id", "key").join(maybe_broadcast(several), "doc_id").distinct()
+    reps = rows.join(vertices.select("key", "rep"), "key").select("doc_id", "rep").distinct()
+    least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return reps.join(least, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -422,11 +432,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = prints.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     # one row for each distinct set: copies meet here, summed up before the shuffle
     least = full.groupBy("key").agg(F.min(F.struct("doc_id", "n", "sk")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.n", "x.sk")
-    vertices = materialize(least.mapInArrow(_shortened, "key binary, rep bigint, n bigint, sk binary, short binary"), "vertices")
+    vertices = materialize(least.mapInArrow(released(_shortened), "key binary, rep bigint, n bigint, sk binary, short binary"), "vertices")
     nodes, large = small_nodes(vertices)
     pairs = materialize(candidates(nodes, vertices, percent), "pairs")
-    links = materialize(confirmed(docs, pairs, k, percent), "links")
-    found = components(links)
+    links = confirmed(docs, pairs, k, percent).unionByName(shared_ids(full, vertices))
+    found = components(materialize(links, "links"))
     # likely pairs that would still join two components, beyond those that were looked at
     suspected = suspects(vertices, pairs, found)
     if not suspected.isEmpty():
