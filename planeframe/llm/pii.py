@@ -31,16 +31,18 @@ IBAN = (
     + rf"|(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!(?:{_COUNTRIES})[0-9]{{2}}))?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))"
 )
 
-#: Words before a span that raise its score, by kind (lower case); fixed values.
+#: Words near a span that raise its score, by kind: English, German, French and Spanish; fixed values.
 CONTEXT = {
-    "email": ["mail", "contact", "write"],
-    "ip": ["ip", "host", "server", "address"],
-    "card": ["card", "visa", "credit", "payment"],
-    "phone": ["phone", "tel", "call", "mobile", "fax"],
-    "iban": ["iban", "bank", "account", "konto"],
+    "email": "mail email contact write address kontakt schreiben adresse courriel courrier contacter écrire correo contacto escribir dirección",
+    "ip": "ip host server address network rechner adresse netzwerk serveur hôte réseau servidor dirección red",
+    "card": "card visa mastercard credit payment karte kreditkarte zahlung carte crédit paiement tarjeta crédito pago",
+    "phone": "phone tel telephone call mobile fax telefon anruf handy mobil téléphone appeler portable teléfono llamar móvil",
+    "iban": "iban bank account transfer konto überweisung banque compte virement banco cuenta transferencia",
 }
-#: Code points before a span in which those words are looked for; the scores without and with one.
+#: Code points before and after a span in which those words are looked for; the scores without and with one.
 NEAR, BASE, RAISED = 40, 0.6, 0.9
+#: Code points of the pieces from which surroundings are taken.
+PIECE = 4096
 
 
 def _octet(part: Column) -> Column:
@@ -75,11 +77,21 @@ def _iban_ok(x: Column) -> Column:
     return F.length(bare).between(15, 34) & (rest == 1)
 
 
-def _score(text: Column, span: Column) -> Column:
-    before = F.lower(F.substring(text, F.greatest(span["start"] - NEAR, F.lit(0)).cast("int") + 1, (span["start"] - F.greatest(span["start"] - NEAR, F.lit(0))).cast("int")))
+def _score(pieces: Column, span: Column, size: Column) -> Column:
+    """RAISED if a word of the span's kind stands, whole, within NEAR code points before or after it. pieces are the
+    text in stretches of PIECE code points, so that a span costs the same wherever it stands."""
+    at = lambda place: F.floor(place / PIECE).cast("int")
+    between = lambda lo, hi: F.substring(
+        F.concat(F.coalesce(F.get(pieces, at(lo)), F.lit("")), F.coalesce(F.get(pieces, at(lo) + 1), F.lit(""))), (lo % PIECE + 1).cast("int"), (hi - lo).cast("int")
+    )
+    # what is cut at the far edge has no other character beside it there, and so is no whole word
+    lo, hi = F.greatest(span["start"] - NEAR, F.lit(0)), F.least(span["end"] + NEAR, size)
+    before = F.concat(F.when(lo == 0, F.lit(" ")).otherwise(F.lit("")), between(lo, span["start"]), F.lit(" "))
+    after = F.concat(F.lit(" "), between(span["end"], hi), F.when(hi == size, F.lit(" ")).otherwise(F.lit("")))
+    near = F.lower(F.concat(before, F.lit("\n"), after))
     hit = F.lit(False)
     for i, kind in enumerate(KINDS):
-        hit = hit | ((span["kind"] == i) & before.rlike("|".join(CONTEXT[kind])))
+        hit = hit | ((span["kind"] == i) & near.rlike(rf"\P{{L}}(?:{CONTEXT[kind].replace(' ', '|')})(?=\P{{L}})"))
     return F.when(hit, F.lit(RAISED)).otherwise(F.lit(BASE))
 
 
@@ -87,7 +99,8 @@ def find(docs: DataFrame) -> DataFrame:
     """Spans of personal data in `text` of docs(doc_id, text), one row for each row.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the four base kinds' spans), spans (all
-    spans, IBANs too), n_iban, scores (comma-joined, in the order of spans). Spans are kind:start:end in
+    spans, IBANs too), n_iban, scores (comma-joined, in the order of spans: higher where a word of the kind's context
+    stands near). Spans are kind:start:end in
     code points, end exclusive, by start, then kind as in KINDS. A null text counts as empty; a null doc_id
     stays null; repeated rows give repeated rows; other columns are ignored.
     """
@@ -114,6 +127,8 @@ def find(docs: DataFrame) -> DataFrame:
         S.placed(F.col("m4"), 4, _iban_ok).alias("s4"),
     )
     df = df.select("*", S.ordered("s0", "s1", "s2", "s3").alias("base"), S.ordered("s0", "s1", "s2", "s3", "s4").alias("every"))
+    pieces = F.when(F.size("every") > 0, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    df = df.select("*", pieces.alias("pieces"), F.length(text).cast("bigint").alias("size"))
     return df.select(
         "doc_id",
         S.number(F.col("s0")).alias("n_email"),
@@ -123,5 +138,5 @@ def find(docs: DataFrame) -> DataFrame:
         F.sha2(S.listed(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"),
         S.listed(F.col("every"), KINDS).alias("spans"),
         S.number(F.col("s4")).alias("n_iban"),
-        F.array_join(F.transform("every", lambda s: _score(text, s).cast("string")), ",").alias("scores"),
+        F.array_join(F.transform("every", lambda s: _score(F.col("pieces"), s, F.col("size")).cast("string")), ",").alias("scores"),
     )

@@ -27,25 +27,49 @@ def matches(text: Column, pattern: str, group: int = 0, where: Column | None = N
     return found if where is None else F.when(where, found).otherwise(none)
 
 
+#: Matches that are walked as one block.
+BLOCK = 512
+
+
 def placed(found: Column, kind: int, keep: Callable[[Column], Column]) -> Column:
-    """Spans (kind, start, end, value) of the matches that pass `keep`, which sees (text, value)."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"CAST(array() AS {EMPTY})").alias("out"))
-    walked = F.aggregate(
-        found,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["hit"]).alias("at"),
-            F.when(
-                keep(x),
+    """Spans (kind, start, end, value) of the matches that pass `keep`, which sees (text, value).
+
+    Blocks of matches are walked one by one, as a walk copies what it has found at every step; then each block's
+    places are moved by what stands before it."""
+    empty = F.expr(f"CAST(array() AS {EMPTY})")
+
+    def walked(part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + x["hit"]).alias("at"),
+                F.when(
+                    keep(x),
+                    F.array_append(
+                        acc["out"],
+                        F.struct(F.lit(kind).alias("kind"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["hit"]).alias("end"), x["value"].alias("value")),
+                    ),
+                ).otherwise(acc["out"]).alias("out"),
+            ),
+        )
+
+    def moved(blocks: Column) -> Column:
+        nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"CAST(array() AS array<{EMPTY}>)").alias("out"))
+        return F.aggregate(
+            blocks,
+            nothing,
+            lambda acc, b: F.struct(
+                (acc["at"] + b["at"]).alias("at"),
                 F.array_append(
-                    acc["out"],
-                    F.struct(F.lit(kind).alias("kind"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["hit"]).alias("end"), x["value"].alias("value")),
-                ),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return walked
+                    acc["out"], F.transform(b["out"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")))
+                ).alias("out"),
+            ),
+            lambda acc: F.flatten(acc["out"]),
+        )
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(BLOCK))
+    return F.when(F.size(found) <= BLOCK, walked(found)["out"]).otherwise(moved(F.transform(starts, lambda a: walked(F.slice(found, a, F.lit(BLOCK))))))
 
 
 def ordered(*spans: Column) -> Column:
