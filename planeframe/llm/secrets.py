@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planeframe.llm import spans as S
-from planeframe.llm.common import materialize, narrow
+from planeframe.llm.common import materialize, maybe_broadcast, narrow
 
 KINDS = ["assign", "access", "hex", "provider"]
 
@@ -27,6 +27,8 @@ PROVIDER_HINTS = ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "sk_test_"
 
 #: Held by so many owners or repositories or more, a candidate is an example; a live-looking one has so many different characters.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, LIVE_CHARACTERS = 3, 10, 8
+#: Finds of one value that meet one copy of its counts.
+HOLDERS = 4096
 
 
 def _any(text: Column, hints: list[str]) -> Column:
@@ -94,9 +96,14 @@ def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     )
     held = scanned.select("row", "owner", "repo", F.posexplode("found").alias("at", "x")).select("row", "owner", "repo", "at", "x.*")
     owners, repositories = (held.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(n)) for c, n in (("owner", "owners"), ("repo", "repositories")))
-    spread = owners.join(repositories, "hash")
+    many = held.groupBy("hash").agg(F.expr(f"(count(*) - 1) div {HOLDERS} + 1").alias("copies"))
+    spread = materialize(owners.join(repositories, "hash").join(many, "hash"), "spread")
+    # a value that is held very often is sent in copies, so that its holders meet it in many tasks
+    hot = maybe_broadcast(spread.filter("copies > 1").select("hash", "copies"))
+    dealt = held.join(hot, "hash", "left").withColumn("copy", F.expr("IF(copies IS NULL, 0L, pmod(row, copies))")).drop("copies")
+    spread = spread.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).drop("copies")
     judged = (
-        held.join(spread, "hash")
+        dealt.join(spread, ["hash", "copy"])
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("at", "owners", "repositories", (F.col("random") & (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES)).alias("live")))).alias("judged"))
     )
