@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planeframe.llm import textkernel as K
-from planeframe.llm.common import narrow
+from planeframe.llm.common import flat, narrow, place, released
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
 #: Labelled rows that are fitted: the first by a hash of their id, and at most so many.
@@ -184,22 +184,23 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], *extra], names)
 
     if keep:
-        flat = docs.toDF(*(front := [f"c{i}" for i in range(len(docs.columns))]))
-        text = F.col(front[docs.columns.index("text")])
-        rest = flat.select(text.cast("string").alias("t"), F.coalesce(text.rlike(_LETTERS), F.lit(False)).alias("l"), *front)
-        schema = ", ".join(f"{c} {flat.schema[c].dataType.simpleString()}" for c in front)
+        rows = flat(docs)
+        front, text = rows.columns, F.col(f"c{place(docs, 'text')}")
+        rest = rows.select(text.cast("string").alias("t"), F.coalesce(text.rlike(_LETTERS), F.lit(False)).alias("l"), *front)
+        schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in front)
     else:
         front, schema = ["doc_id", "held_out"], "doc_id bigint, held_out boolean"
         rest = narrow(docs, "doc_id", "text").select(
             F.col("text").alias("t"), F.coalesce(F.col("text").rlike(_LETTERS), F.lit(False)).alias("l"), F.col("doc_id").cast("bigint").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out")
         )
     names = [*front, "lang_pred", "score", "rejected"]
-    done = rest.mapInArrow(work, f"{schema}, lang_pred string, score double, rejected boolean")
+    done = rest.mapInArrow(released(work), f"{schema}, lang_pred string, score double, rejected boolean")
     return done.toDF(*docs.columns, "lang_pred", "score", "rejected") if keep else done
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language is not rejected, with the columns of docs."""
+    """The rows of docs whose language is not rejected, with the columns of docs; null and empty texts, and those
+    without a letter, are rejected, and repeated rows share their fate."""
     n = len(docs.columns)
-    done = predict(docs, model, keep=True).toDF(*[f"c{i}" for i in range(n + 3)])
+    done = flat(predict(docs, model, keep=True))
     return done.filter(f"NOT c{n + 2}").select([f"c{i}" for i in range(n)]).toDF(*docs.columns)
