@@ -33,17 +33,44 @@ def test_bpe_equals_the_library(spark, docs_of, edge):
 
 
 def test_bpe_keeps_hot_chunks(monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_CHUNKS", 40)
-    codec, made = bpe.Codec(tokenizer("word_bpe_49k.json")), []
-    make = codec._chunk
-    monkeypatch.setattr(codec, "_chunk", lambda text, parts: made.append(text) or make(text, parts))
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 200_000)
+    codec = bpe.Codec(tokenizer("word_bpe_49k.json"))
     rng = random.Random(2)
     hot = " ".join(f"hot{rng.randrange(999)}" for _ in range(3000))
+    made = []
     for _ in range(12):
         text = (hot + "\n" + " ".join(f"w{rng.randrange(999)}" for _ in range(3000))).encode()
+        before = codec.made
         list(codec.run(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
-    inner = [t for t in made if t in hot]
-    assert len(inner) > 3 and len(inner) == len(set(inner))
+        made.append(codec.made - before)
+    assert codec.met > 2 * codec.made * 0.8 and max(made[1:]) <= made[0] * 0.6
+
+
+@pytest.mark.parametrize("mean, most, wrong", [(16, 600_000, 0), (64, 40, 0), (64, 600_000, 3)])
+def test_bpe_joins_agree(monkeypatch, mean, most, wrong):
+    """Many cuts, a full dictionary, and joins whose first stretches don't agree."""
+    monkeypatch.setattr(bpe, "MEAN_CHUNK", mean)
+    monkeypatch.setattr(bpe, "MOST_WORDS", most)
+    codec = bpe.Codec(tokenizer("word_bpe_49k.json"))
+    rng = random.Random(mean + most)
+    word = lambda: "".join(rng.choice("abcéß日'0<|>-") for _ in range(rng.choice([1, 3, 9, 80])))
+    texts = [rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.randrange(120))) for _ in range(60)] + ["", " ", "<|endoftext|>" * 40]
+    encode, left = codec.encoded, [wrong]
+
+    def sometimes(some):
+        ids, n = encode(some)
+        if left[0] and len(some) < 60 and len(ids) and any(" " in x for x in some):
+            left[0] -= 1
+            ids = ids.copy()
+            ids[0] += 1
+        return ids, n
+
+    monkeypatch.setattr(codec, "encoded", sometimes)
+    body, off = K.utf8(__import__("pyarrow").array(texts))
+    got = list(codec.run(body, off))
+    for t, (raw, back) in zip(texts, got):
+        ids = codec.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(raw, "<u4").tolist() == ids and back == codec.tokenizer.decode(ids, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
@@ -318,7 +345,7 @@ def test_decontamination(spark, docs_of, edge):
         swapped[i] = "zz"
     clean = " ".join(f"c{i}" for i in range(200))
     texts = [clean, clean + " " + item.upper() + " " + clean, "x " + " ".join(swapped), " ".join(w[5:18]), " ".join(w[5:15]), *edge]
-    bench = spark.createDataFrame([(7, item, "x"), (8, None, "x"), (9, "too short", "x")], "item_id bigint, text string, doc_id string")
+    bench = spark.createDataFrame([(7, item, "x"), (8, None, "x"), (9, "so short", "x")], "item_id bigint, text string, doc_id string")
     got = {(r.doc_id, r.item_id): (r.start, r.end, r.n_equal) for r in decontam.overlaps(docs_of(texts), bench).collect()}
     assert got == {(1, 7): (200, 230, 30), (2, 7): (1, 31, 26), (3, 7): (0, 13, 13)}
     assert decontam.decontaminated(docs_of(texts), bench).count() == len(texts) - 3
@@ -362,15 +389,34 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard):
     x = np.round(rng.normal(0, 0.2, (400, 6)), 1)  # many ties
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [1.0]), (None, [1.0] * 6), (50, [float(v) for v in x[50]])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
-    z = np.floor(256 * x.astype(np.float32).astype(float))
+    z = np.floor(256 * np.concatenate([x, x[50:51]]).astype(np.float32).astype(float))
+    ids = [*range(400), 50]  # the row that repeats an id is a row of its own; the one of another length has no other
     want = []
-    for q in range(0, 400, 50):
-        s = z @ z[q]
-        best = sorted((-int(v), i) for i, v in enumerate(s) if i != q)[:5]
-        want += [(q, r, i, -v) for r, (v, i) in enumerate(best, 1)]
+    for q, own in enumerate(ids):
+        if own % 50 == 0:
+            score = z @ z[q]
+            best = sorted((-int(v), ids[i]) for i, v in enumerate(score) if i != q)[:5]
+            want += [(own, r, i, -v) for r, (v, i) in enumerate(best, 1)]
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [3.0, 0.0]), (8, [0.5, 0.0]), (9, [1.0, 0.0, 0.0])]
+    made = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id bigint, embedding array<double>, id string, row int, x int")
+    got = topk.top_k(made).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(50, 1, 7, 196608), (50, 2, 7, 65536), (50, 3, 8, 32768)]
+
+
+def test_equal_vectors_are_cut_by_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 20)
+    rows = [(i, [1.0, 2.0] if i % 3 else [float(i % 7), 1.0]) for i in range(1, 301)]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    z = {i: np.floor(256 * np.array(v)) for i, v in rows}
+    for q in range(50, 301, 50):
+        best = sorted((-int(z[q] @ v), i) for i, v in z.items() if i != q)[:5]
+        assert [got[q, r] for r in range(1, 6)] == [(i, -v) for v, i in best]
+
+
 def test_empty_tables(spark, docs_of):
     none = docs_of(["a"]).limit(0)
     bench = spark.createDataFrame([], "item_id bigint, text string")
