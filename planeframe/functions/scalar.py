@@ -18,6 +18,11 @@ def frame_label(frame: Column, fps: int, drop: int) -> Column:
     return (frame + d * (9 * drop) + F.when(m >= fps * 60, (div(m - fps * 60, minute) + 1) * drop).otherwise(F.lit(0))).cast("bigint")
 
 
+def seconds(ticks: Column, timescale: Column) -> Column:
+    """Time of a place in ticks."""
+    return ticks / timescale
+
+
 def timecode(frame: Column, fps: int = 30, drop: int = 2) -> Column:
     """HH:MM:SS:FF, with ';' before the frames if labels are dropped. Hours are not wrapped."""
     n = frame_label(frame, fps, drop)

@@ -55,23 +55,57 @@ def inverse(df: DataFrame) -> DataFrame:
     return df.withColumn("coef", F.transform("coef", lambda a: F.when(a >= 0, F.shiftright(a + half, 32)).otherwise(-F.shiftright(half - a, 32))))
 
 
-def quantise(df: DataFrame, qp: int) -> DataFrame:
+def _steps(qp: int, matrix: int, chroma: bool, refined: bool) -> Column:
+    return F.array(*[F.lit(T.step(matrix, chroma, i, qp, refined)).cast("bigint") for i in range(64)])
+
+
+def quantise(df: DataFrame, qp: int, matrix: int = 0, chroma: bool = False, refined: bool = False) -> DataFrame:
     """Dead-zone quantiser: no dead zone for DC, a quarter step for AC."""
-    q = T.flat_step(qp)
+    steps = _steps(qp, matrix, chroma, refined)
     most = F.lit(T.MAX_COEFFICIENT).cast("bigint")
 
     def one(f: Column, i: Column) -> Column:
-        num = F.least(F.abs(f), most) + F.lit(q >> 1)
-        dead = F.when(i == 0, F.lit(0)).otherwise(F.lit(q >> 2)).cast("bigint")
-        size = F.when(num > dead, F.floor((num - dead) / F.lit(q))).otherwise(F.lit(0).cast("bigint"))
+        q = F.get(steps, i)
+        num = F.least(F.abs(f), most) + F.shiftright(q, 1)
+        dead = F.when(i == 0, F.lit(0)).otherwise(F.shiftright(q, 2)).cast("bigint")
+        size = F.when(num > dead, F.floor((num - dead) / q)).otherwise(F.lit(0).cast("bigint"))
         return F.when(f < 0, -size).otherwise(size)
 
     return held(df, "coef", F.transform("coef", one))
 
 
-def dequantise(df: DataFrame, qp: int) -> DataFrame:
-    q, most = F.lit(T.flat_step(qp)).cast("bigint"), F.lit(T.MAX_COEFFICIENT).cast("bigint")
-    return df.withColumn("coef", F.transform("coef", lambda c: F.greatest(F.least(c * q, most), -most)))
+def dequantise(df: DataFrame, qp: int, matrix: int = 0, chroma: bool = False, refined: bool = False) -> DataFrame:
+    steps, most = _steps(qp, matrix, chroma, refined), F.lit(T.MAX_COEFFICIENT).cast("bigint")
+    return df.withColumn("coef", F.transform("coef", lambda c, i: F.greatest(F.least(c * F.get(steps, i), most), -most)))
+
+
+def predistort(df: DataFrame) -> DataFrame:
+    """coef divided by the error that rounding leaves in the inverse's weights, halves away from zero: the decoder's
+    gain is then exact, also for 16-bit samples."""
+    gain = F.array(*[F.lit(T.weight(u, v) * T.E[u] * T.E[v]).cast("bigint") for u in range(8) for v in range(8)])
+
+    def one(f: Column, i: Column) -> Column:
+        g = F.get(gain, i)
+        size = F.call_function("div", F.abs(f) * F.lit(1 << 33) + g, g * 2)
+        return F.when(f < 0, -size).otherwise(size)
+
+    return held(df, "coef", F.transform("coef", one))
+
+
+def inverse_at(df: DataFrame, cells: list[tuple[int, int]], limit: int = 63) -> DataFrame:
+    """coef: only the samples at the given (x, y), from the coefficients up to a scan position. Other coefficients are
+    not looked at: a half-size frame reads 25 of 64."""
+    order = T.zigzag()[: limit + 1]
+    scaled = F.array(*[F.get("coef", i) * F.lit(T.weight(i // 8, i % 8)).cast("bigint") for i in order])
+
+    def one(x: int, y: int) -> Column:
+        gain = F.array(*[F.lit(T.M[i // 8][y] * T.M[i % 8][x]).cast("bigint") for i in order])
+        return F.aggregate(F.zip_with("_g", gain, lambda a, b: a * b), F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+    df = held(df, "_g", scaled)
+    df = held(df, "coef", F.array(*[one(x, y) for x, y in cells])).drop("_g")
+    half = F.lit(1 << 31)
+    return df.withColumn("coef", F.transform("coef", lambda a: F.when(a >= 0, F.shiftright(a + half, 32)).otherwise(-F.shiftright(half - a, 32))))
 
 
 def scan(df: DataFrame) -> DataFrame:

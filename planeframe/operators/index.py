@@ -25,15 +25,24 @@ def prev_sync(idx: str, sync: Column, by: list[str]) -> Column:
     return F.max(F.when(sync, F.col(idx))).over(w)
 
 
-def uncontained(samples: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Samples (by, off, size) that lie in no range (by, lo, hi) of their own key."""
-    s, r = samples.alias("s"), ranges.alias("r")
-    same = None
-    for k in by:
-        c = F.col(f"s.{k}") == F.col(f"r.{k}")
-        same = c if same is None else same & c
-    inside = (F.col("s.off") >= F.col("r.lo")) & (F.col("s.off") < F.col("r.hi")) & (F.col("s.size") <= F.col("r.hi") - F.col("s.off"))
-    return s.join(r, same & inside, "left_anti")
+def uncontained(samples: DataFrame, ranges: DataFrame, by: list[str], width: int = 4096) -> DataFrame:
+    """Samples (by, off, size) that lie in no range (by, lo, hi) of their own key.
+
+    A sample lies in a range if, of all ranges that begin at or before it, the furthest end reaches its own. So there
+    is no join: ranges and samples are put in order of their places once, cut into buckets of `width` bytes that are
+    swept apart from each other, and what reaches in from the buckets before is a running maximum over buckets."""
+    bucket = F.floor(F.col("at") / width).cast("bigint")
+    r = ranges.select(*by, F.col("lo").alias("at"), F.lit(0).alias("kind"), F.col("hi"), F.lit(None).cast("bigint").alias("size"))
+    s = samples.select(*by, F.col("off").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("hi"), F.col("size").cast("bigint"))
+    both = r.unionByName(s).withColumn("_b", bucket)
+    ends = r.withColumn("_b", bucket).groupBy(*by, "_b").agg(F.max("hi").alias("_hi"))
+    # buckets without a range take the maximum of the last one before them
+    places = both.select(*by, "_b").distinct().join(ends, [*by, "_b"], "left")
+    before = places.withColumn("_before", F.max("_hi").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_hi")
+    inside = F.max("hi").over(Window.partitionBy(*by, "_b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    swept = both.withColumn("_in", inside).filter("kind = 1").join(before, [*by, "_b"])
+    reach = F.greatest(F.coalesce("_in", F.lit(-1)), F.coalesce("_before", F.lit(-1)))
+    return swept.filter(reach < F.col("at") + F.greatest(F.col("size"), F.lit(1))).select(*by, F.col("at").alias("off"), "size")
 
 
 def extents(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def floor_div(a: Column, b: int) -> Column:
@@ -28,35 +28,40 @@ def pairs_422(samples: Column) -> Column:
     )
 
 
+def overlap_sum(samples: Column, d: Column, src: int, dst: int) -> Column:
+    """The samples under target d, each times its overlap on the common grid of src x dst parts."""
+    first, last = F.floor(d * src / dst).cast("int"), F.floor(((d + 1) * src - 1) / dst).cast("int")
+    weight = lambda s: (F.least((d + 1) * src, (s + 1) * dst) - F.greatest(d * src, s * dst)).cast("bigint")
+    return F.aggregate(F.sequence(first, last), F.lit(0).cast("bigint"), lambda acc, s: acc + F.get(samples, s) * weight(s))
+
+
 def area_down(samples: Column, src: int, dst: int) -> Column:
     """Overlap-weighted means on the common grid, rounded half up."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dst - 1)), lambda d: floor_div(overlap_sum(samples, d, src, dst) + src // 2, src))
+
 
-    def one(d: int) -> Column:
-        lo, hi = d * src, (d + 1) * src
-        total = None
-        for s in range(src):
-            w = min(hi, (s + 1) * dst) - max(lo, s * dst)
-            if w > 0:
-                term = F.get(samples, F.lit(s)) * F.lit(w).cast("bigint")
-                total = term if total is None else total + term
-        return floor_div(total + src // 2, src)
+def centre(d: Column, src: int, dst: int) -> tuple[Column, Column]:
+    """The left source sample of target d, and the right one's weight in parts of 2 * dst; ends are clamped."""
+    num = F.greatest((d * 2 + 1) * src - dst, F.lit(0))
+    left = F.floor(num / (2 * dst)).cast("bigint")
+    over = left >= src - 1
+    return F.when(over, F.lit(src - 1)).otherwise(left).cast("bigint"), F.when(over, F.lit(0)).otherwise(num % (2 * dst)).cast("bigint")
 
-    return F.array(*[one(d) for d in range(dst)])
+
+def centre_sum(samples: Column, d: Column, src: int, dst: int) -> Column:
+    """Both source samples times their weights, which sum up to 2 * dst."""
+    left, part = centre(d, src, dst)
+    return F.get(samples, left.cast("int")) * (F.lit(2 * dst) - part) + F.get(samples, F.least(left + 1, F.lit(src - 1)).cast("int")) * part
 
 
 def bilinear_up(samples: Column, src: int, dst: int) -> Column:
     """Centre-aligned, rational weights, rounded half up, ends clamped."""
-    den = 2 * dst
+    return F.transform(F.sequence(F.lit(0), F.lit(dst - 1)), lambda d: floor_div(centre_sum(samples, d, src, dst) + dst, 2 * dst))
 
-    def one(d: int) -> Column:
-        num = (2 * d + 1) * src - dst
-        left, part = (num // den, num % den) if num > 0 else (0, 0)
-        if left >= src - 1:
-            left, part = src - 1, 0
-        a, b = F.get(samples, F.lit(left)), F.get(samples, F.lit(min(left + 1, src - 1)))
-        return floor_div(a * F.lit(den - part).cast("bigint") + b * F.lit(part).cast("bigint") + dst, den)
 
-    return F.array(*[one(d) for d in range(dst)])
+def nearest(samples: Column, src: int, dst: int) -> Column:
+    """Target t takes source floor(t * src / dst)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dst - 1)), lambda t: F.get(samples, F.floor(t * src / dst).cast("int")))
 
 
 def lift2(samples: Column) -> tuple[Column, Column]:
@@ -86,10 +91,22 @@ def unlift2(even: Column, detail: Column) -> Column:
     return F.flatten(F.transform(even, lambda e, j: F.when(j < F.size(detail), F.array(e, odd(j))).otherwise(F.array(e))))
 
 
-def lift3(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
-    """Low and two details of a group of three."""
-    d0, d1 = a - b, c - b
-    return b + floor_div(d0 + d1 + 1, 3), d0, d1
+def lift3(samples: Column) -> tuple[Column, Column, Column]:
+    """Low and two details of the reversible three-tap lifting, of an array of any length: in the last group the last
+    sample stands in for those that are missing."""
+    n = F.size(samples)
+    groups = F.sequence(F.lit(0), F.floor((n + 2) / 3).cast("int") - 1)
+    at = lambda j, k: F.get(samples, F.least(j * 3 + k, n - 1))
+    d0, d1 = F.transform(groups, lambda j: at(j, 0) - at(j, 1)), F.transform(groups, lambda j: at(j, 2) - at(j, 1))
+    return F.transform(groups, lambda j: at(j, 1) + floor_div(at(j, 0) + at(j, 2) - at(j, 1) * 2 + 1, 3)), d0, d1
+
+
+def unlift3(low: Column, d0: Column, d1: Column, n: Column) -> Column:
+    """n samples from the bands of lift3."""
+    group = lambda v, j: F.array(
+        v - floor_div(F.get(d0, j) + F.get(d1, j) + 1, 3) + F.get(d0, j), v - floor_div(F.get(d0, j) + F.get(d1, j) + 1, 3), v - floor_div(F.get(d0, j) + F.get(d1, j) + 1, 3) + F.get(d1, j)
+    )
+    return F.slice(F.flatten(F.transform(low, group)), F.lit(1), n)
 
 
 def half_to_code(h: Column) -> Column:
@@ -112,16 +129,19 @@ def symmetric_quantise(v: Column, q: int) -> Column:
     return F.when(v < 0, -size).otherwise(size)
 
 
-def med_residual(df: DataFrame, keys: list[str], y: str, x: str, v: str) -> DataFrame:
-    """pred and resid by the median edge detector: first row from the left, first column from above, corner 0."""
-    row = Window.partitionBy(*keys, y).orderBy(x)
-    col = Window.partitionBy(*keys, x).orderBy(y)
-    df = df.withColumn("_l", F.lag(v).over(row)).withColumn("_t", F.lag(v).over(col)).withColumn("_c", F.lag("_t").over(row))
-    left, top, corner = F.col("_l"), F.col("_t"), F.col("_c")
-    hi, lo = F.greatest(left, top), F.least(left, top)
-    inner = F.when(corner >= hi, lo).when(corner <= lo, hi).otherwise(left + top - corner)
-    pred = F.when(left.isNull() & top.isNull(), F.lit(0)).when(top.isNull(), left).when(left.isNull(), top).otherwise(inner)
-    return df.withColumn("pred", pred.cast("bigint")).withColumn("resid", (F.col(v) - pred).cast("bigint")).drop("_l", "_t", "_c")
+def med_residuals(samples: Column, width: int) -> Column:
+    """(pred, resid) of each sample of a band by the median edge detector: first row from the left, first column from
+    above, corner 0. All neighbours lie in the same array."""
+
+    def one(v: Column, i: Column) -> Column:
+        left, top = (F.get(samples, i - k) for k in (1, width))
+        corner = F.get(samples, i - width - 1)
+        hi, lo = F.greatest(left, top), F.least(left, top)
+        inner = F.when(corner >= hi, lo).when(corner <= lo, hi).otherwise(left + top - corner)
+        pred = F.when(i == 0, F.lit(0)).when(i < width, left).when(i % width == 0, top).otherwise(inner).cast("bigint")
+        return F.struct(pred.alias("pred"), (v - pred).cast("bigint").alias("resid"))
+
+    return F.transform(samples, one)
 
 
 def rgb_to_yuv(df: DataFrame) -> DataFrame:
@@ -139,6 +159,52 @@ def rgb_to_yuv(df: DataFrame) -> DataFrame:
     ).drop("yf")
 
 
+FORMATS = ("bgr24", "rgb24", "bgra32", "rgba32", "bgr48", "rgb48", "bgra64", "rgba64")
+
+
+def unpacked(row: Column, fmt: str) -> Column:
+    """(r, g, b, a) of each pixel of a packed row (bytes; 16-bit samples are little-endian); a is null without alpha."""
+    channels, size = (4 if "a" in fmt else 3), (2 if fmt.endswith(("48", "64")) else 1)
+    order = fmt.rstrip("0123456789")
+    byte = lambda k: F.conv(F.hex(F.substring(row, k + 1, F.lit(1))), 16, 10).cast("bigint")
+    value = lambda k: byte(k) if size == 1 else byte(k) + byte(k + 1) * 256
+    pixels = F.sequence(F.lit(0), F.floor(F.octet_length(row) / (channels * size)).cast("int") - 1)
+    pick = lambda x, c: value((x * channels + order.index(c)) * size) if c in order else F.lit(None).cast("bigint")
+    return F.transform(pixels, lambda x: F.struct(*[pick(x, c).alias(c) for c in "rgba"]))
+
+
+def converted(pixels: Column, out: str, peak: int, depth: int = 10, shift: int = 0, full: bool = True, kr: float = 0.2126, kb: float = 0.0722) -> tuple[Column, Column, Column, Column]:
+    """The planes (Y U V or G B R, and alpha) of a row of pixels (r, g, b, a: 0..peak); out is 422, 444 or gbr. Every
+    step rounds to FLOAT, in a fixed order; 4:2:2 halves the quantised chroma, halves to even."""
+    f = lambda x: F.lit(x).cast("float")
+    scale, move = (1 << depth) - 1, 1 << (depth - 8)
+    y_mult, y_off, c_mult, c_off = (scale, 0, scale, 0) if full else (219 * move, 16 * move, 224 * move, 16 * move)
+    clip = lambda v: F.greatest(F.least(F.rint(v), F.lit(float(scale))), F.lit(0.0)).cast("bigint")
+    part = lambda p, c: (p[c].cast("float") / f(peak)).cast("float")
+    luma = lambda p: f(kr) * part(p, "r") + f(1 - kr - kb) * part(p, "g") + f(kb) * part(p, "b")
+    chroma = lambda p, c, k: clip((((part(p, c) - luma(p)) / f(2 * (1 - k))).cast("float") + f(0.5)) * f(c_mult) + f(c_off))
+    most = (1 << (16 - shift)) - 1
+    opaque = F.lit(most << shift).cast("bigint")
+    alpha = F.transform(pixels, lambda p: F.coalesce(F.shiftleft(F.greatest(F.least(F.rint(part(p, "a") * f(most)), F.lit(float(most))), F.lit(0.0)).cast("bigint"), shift), opaque))
+    if out == "gbr":
+        return (*[F.transform(pixels, lambda p, c=c: clip(part(p, c) * f(scale))) for c in "gbr"], alpha)
+    u, v = F.transform(pixels, lambda p: chroma(p, "b", kb)), F.transform(pixels, lambda p: chroma(p, "r", kr))
+    if out == "422":
+        u, v = halved_even(u), halved_even(v)
+    return F.transform(pixels, lambda p: clip(luma(p) * f(y_mult) + f(y_off))), u, v, alpha
+
+
+def halved_even(samples: Column) -> Column:
+    """Means of two, halves to even; an odd last sample stays."""
+    n = F.size(samples)
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), lambda i: F.rint((F.get(samples, i * 2) + F.get(samples, F.least(i * 2 + 1, n - 1))) / 2).cast("bigint"))
+
+
+def reconstructed(ref: Column, x: Column, mid: int) -> Column:
+    """clip(ref + x - mid) of two sample arrays."""
+    return F.zip_with(ref, x, lambda a, b: F.greatest(F.lit(0).cast("bigint"), F.least(a + b - mid, F.lit(2 * mid - 1).cast("bigint"))))
+
+
 def residual(cur: Column, ref: Column, mid: int) -> Column:
     """clip(cur - ref + mid) of two sample arrays."""
     return F.zip_with(cur, ref, lambda a, b: F.greatest(F.lit(0).cast("bigint"), F.least(a - b + mid, F.lit(2 * mid - 1).cast("bigint"))))

@@ -224,12 +224,21 @@ def lift_roundtrip(spark, sf_dir):
     return _long(even, sample.unlift2(F.col("even"), F.col("d")))
 
 
-@query(f"""WITH {_X}, g AS (SELECT a.blk, a.i // 3 AS j, a.s - b.s AS d0, c.s - b.s AS d1, b.s FROM x a JOIN x b ON b.blk = a.blk AND b.i = a.i + 1 JOIN x c ON c.blk = a.blk AND c.i = a.i + 2 WHERE a.i % 3 = 0)
-SELECT blk, j, d0, d1, CAST(s + floor((d0 + d1 + 1) / 3.0) AS BIGINT) AS low FROM g""")
+@query(f"""WITH {_X}, g AS (SELECT a.blk, a.i // 3 AS j, a.s AS a, coalesce(b.s, a.s) AS b, coalesce(c.s, b.s, a.s) AS c FROM x a LEFT JOIN x b ON b.blk = a.blk AND b.i = a.i + 1 LEFT JOIN x c ON c.blk = a.blk AND c.i = a.i + 2 WHERE a.i % 3 = 0)
+SELECT blk, j, a - b AS d0, c - b AS d1, CAST(b + floor((a + c - 2 * b + 1) / 3.0) AS BIGINT) AS low FROM g""")
 def lift3_analyse(spark, sf_dir):
-    groups = samples(spark, sf_dir).select("blk", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("j"), "s")
-    low, d0, d1 = sample.lift3(*(F.get("s", F.col("j") * 3 + i) for i in range(3)))
-    return groups.select("blk", F.col("j").cast("bigint").alias("j"), d0.alias("d0"), d1.alias("d1"), low.alias("low"))
+    low, d0, d1 = sample.lift3(F.col("s"))
+    each = samples(spark, sf_dir).select("blk", F.posexplode(F.arrays_zip(low.alias("low"), d0.alias("d0"), d1.alias("d1"))).alias("j", "x"))
+    return each.select("blk", F.col("j").cast("bigint").alias("j"), "x.d0", "x.d1", "x.low")
+
+
+@query(f"WITH {_X} SELECT blk, i, s AS c FROM x")
+def lift3_roundtrip(spark, sf_dir):
+    """Analysis and synthesis by three of 64 samples, whose last group has one, give them back."""
+    bands = samples(spark, sf_dir)
+    for name, band in zip(("low", "d0", "d1"), sample.lift3(F.col("s"))):
+        bands = block.held(bands, name, band)
+    return _long(bands, sample.unlift3(F.col("low"), F.col("d0"), F.col("d1"), F.size("s")))
 
 
 @query(f"""WITH {_X}, n AS (SELECT blk, i, s, lag(s) OVER (PARTITION BY blk, i // 8 ORDER BY i) AS l, lag(s, 8) OVER (PARTITION BY blk ORDER BY i) AS t FROM x),
@@ -237,8 +246,8 @@ c AS (SELECT *, lag(t) OVER (PARTITION BY blk, i // 8 ORDER BY i) AS c FROM n),
 p AS (SELECT blk, i, s, CAST(CASE WHEN l IS NULL AND t IS NULL THEN 0 WHEN t IS NULL THEN l WHEN l IS NULL THEN t WHEN c >= greatest(l, t) THEN least(l, t) WHEN c <= least(l, t) THEN greatest(l, t) ELSE l + t - c END AS BIGINT) AS pred FROM c)
 SELECT blk, i, pred, s - pred AS resid FROM p""")
 def alpha_med(spark, sf_dir):
-    df = _long(samples(spark, sf_dir), F.col("s")).withColumn("y", F.floor(F.col("i") / 8)).withColumn("x", F.col("i") % 8)
-    return sample.med_residual(df, ["blk"], "y", "x", "c").select("blk", "i", "pred", "resid")
+    each = samples(spark, sf_dir).select("blk", F.posexplode(sample.med_residuals(F.col("s"), 8)).alias("i", "x"))
+    return each.select("blk", F.col("i").cast("bigint").alias("i"), "x.pred", "x.resid")
 
 
 @query(f"WITH {_X} SELECT blk, i, CAST(least((s * 64 + 128) // 256 * 256, 65280) AS BIGINT) AS c FROM x")
@@ -308,7 +317,7 @@ def psnr_by_label(spark, sf_dir):
 @query(f"""WITH {_FR}, r AS (SELECT event_type, size, row_number() OVER (PARTITION BY event_type ORDER BY size, event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM fr)
 SELECT event_type, max(n) AS n, max(size) FILTER (k = n // 2) AS p50, max(size) FILTER (k = least((n * 95 + 99) // 100, n - 1)) AS p95, max(size) FILTER (k = least((n * 99 + 99) // 100, n - 1)) AS p99 FROM r GROUP BY event_type""")
 def nearest_rank_pct(spark, sf_dir):
-    return metric.nearest_rank(frames(spark, sf_dir), ["event_type"], "size", ["event_id"])
+    return metric.nearest_rank(frames(spark, sf_dir), ["event_type"], "size")
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL) SELECT user_id, CAST(sum(c) AS BIGINT) AS n, round(sum(c) * log2(sum(c)) - sum(c * log2(c)), 6) AS bits FROM c GROUP BY user_id""")
@@ -448,14 +457,30 @@ def budget_depth(spark, sf_dir):
     return f.select("l_orderkey", F.when(fits(12), 12).when(fits(10), 10).otherwise(8).cast("bigint").alias("depth"))
 
 
-@query()
+_LOANS = f"""{_FR}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM fr)"""
+_TERMS = f"""{_LOANS}, u AS (SELECT user_id, event_id, k, size, sum(least(size - 50, 150)) OVER (PARTITION BY user_id ORDER BY k) AS total,
+  8 * log2(greatest(size, 1) / 50.0) + 0.35 * CASE WHEN count(*) OVER w >= 12 THEN greatest(-6.0, least(6.0, 8 * log2(avg(size) OVER w / 50.0))) ELSE 0 END
+  + 0.15 * CASE WHEN k > 4 THEN 8 * log2(sum(size) OVER a / (50.0 * k)) ELSE 0 END AS adj,
+  CASE WHEN k >= 5 AND size > 1.8 * greatest(1.0, median(size) OVER b) THEN 8.0 ELSE 4.0 END AS most FROM n
+  WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS 23 PRECEDING), a AS (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY user_id ORDER BY k)) AS debt FROM u),
+t AS (SELECT user_id, event_id, k, size, CAST(round_even(greatest(-most, least(most, adj + CASE WHEN debt > 0 THEN least(4.0, 8 * log2(1 + debt / 1200.0)) ELSE 0 END)), 0) AS BIGINT) AS step FROM v)"""
+
+
+@query(f"""WITH RECURSIVE {_LOANS}, r AS (SELECT user_id, event_id, k, size, greatest(0, least(size - 50, 150)) AS debt FROM n WHERE k = 1
+UNION ALL SELECT n.user_id, n.event_id, n.k, n.size, greatest(0, r.debt + least(n.size - 50, 150)) FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+SELECT user_id, event_id, size, CAST(debt AS BIGINT) AS debt FROM r""")
 def debt_ledger(spark, sf_dir):
-    return control.debt_ledger(frames(spark, sf_dir), ["user_id"], ["ts", "event_id"], 50).drop("ts")
+    """Each user's frames against a target of 50 bytes: what they overshoot is lent, what they save pays it back."""
+    return control.debt_ledger(frames(spark, sf_dir), ["user_id"], ["ts", "event_id"], 50).select("user_id", "event_id", "size", "debt")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TERMS}, r AS (SELECT user_id, event_id, k, size, greatest(0, least(95, 40 + step)) AS qp FROM t WHERE k = 1
+UNION ALL SELECT t.user_id, t.event_id, t.k, t.size, greatest(0, least(95, r.qp + t.step)) FROM r JOIN t ON t.user_id = r.user_id AND t.k = r.k + 1)
+SELECT user_id, event_id, size, CAST(qp AS BIGINT) AS qp FROM r""")
 def next_qp(spark, sf_dir):
-    return control.qp_feedback(frames(spark, sf_dir), ["user_id"], ["ts", "event_id"], 50.0).drop("ts")
+    f = frames(spark, sf_dir).select("user_id", "event_id", "ts", "size")
+    return control.qp_feedback(f, ["user_id"], ["ts", "event_id"], 50.0).select("user_id", "event_id", "size", "qp")
 
 
 # ---- scalar functions ---------------------------------------------------------------------------------------
@@ -482,7 +507,13 @@ def fold_map(spark, sf_dir):
     return c.withColumn("back", block.unfold(F.col("m")).cast("bigint"))
 
 
-@query()
+#: CRC-32 in SQL: the byte table by rule (eight shifts), folded over a text's bytes.
+_CRC = """RECURSIVE bits(b, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8)"""
+
+
+@query(f"""WITH {_CRC}, p AS (SELECT page_id, hex(encode(html)) AS h, octet_length(encode(html)) AS n FROM pages)
+SELECT page_id, CAST(xor(list_reduce(list_prepend(4294967295, [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FOR i IN range(n)]), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT) AS crc, CAST(n AS BIGINT) AS size FROM p, crc""")
 def crc32_payload(spark, sf_dir):
     """CRC-32 and length of each page as a packet payload."""
     return table(spark, sf_dir, "pages").select("page_id", F.crc32(F.col("html").cast("binary")).alias("crc"), F.octet_length("html").cast("bigint").alias("size"))
@@ -491,12 +522,15 @@ def crc32_payload(spark, sf_dir):
 # ---- sequences ----------------------------------------------------------------------------------------------
 
 
-@query("""WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-l AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN k END) OVER (PARTITION BY user_id ORDER BY k) AS i, max(CASE WHEN event_type = 'error' THEN k END) OVER (PARTITION BY user_id ORDER BY k) AS b FROM o)
-SELECT user_id, event_id, CAST(CASE WHEN i IS NULL AND b IS NULL THEN 0 WHEN i IS NULL OR coalesce(b, 0) > i THEN 2 ELSE 1 END AS BIGINT) AS state FROM l""")
+@query("""WITH o AS (SELECT user_id, event_id, event_type, event_id % 2 AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+l AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN k END) OVER w AS i, max(CASE WHEN event_type = 'error' THEN k END) OVER w AS b, last_value(CASE WHEN event_type = 'signup' THEN g END IGNORE NULLS) OVER w AS lg FROM o WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+s AS (SELECT *, CAST(CASE WHEN i IS NULL AND b IS NULL THEN 0 WHEN i IS NULL OR coalesce(b, 0) > i THEN 2 ELSE 1 END AS BIGINT) AS state FROM l)
+SELECT user_id, event_id, state, CAST(CASE WHEN event_type = 'error' THEN -11 WHEN event_type = 'signup' THEN 0 WHEN state = 0 THEN -9 WHEN state = 2 THEN -17 WHEN g <> lg THEN -9 ELSE 0 END AS INTEGER) AS code FROM s""")
 def gop_state(spark, sf_dir):
+    """I frames are signups, errors can't be read, all others are P frames of the group that their id's parity names."""
     f = frames(spark, sf_dir)
-    return gop.with_state(f, F.col("event_type") == "signup", F.col("event_type") == "error", ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "state")
+    status = F.when(F.col("event_type") == "error", -11).otherwise(0)
+    return gop.with_state(f, F.col("event_type") == "signup", status, F.col("event_id") % 2, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "state", "code")
 
 
 @query("""WITH o AS (SELECT user_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 12 AS seg FROM events)

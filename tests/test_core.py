@@ -98,18 +98,50 @@ def test_debt_is_lent_and_paid_back(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(k, i, (i * 7 + k) % 5 == 0, (i * 3 + k) % 11 == 0) for k in range(3) for i in range(40)]
-    schema = "key bigint, idx bigint, is_i boolean, damaged boolean"
+    rows = [(k, i, (i * 7 + k) % 5 == 0, -11 if (i * 3 + k) % 11 == 0 else 0, i // 9) for k in range(3) for i in range(40)]
+    schema = "key bigint, idx bigint, is_i boolean, status int, gop_id bigint"
+    sizes = [(k, i, (i * 37 + k * 11) % 140 + (400 if i % 13 == 7 else 0)) for k in range(3) for i in range(40)]
     for part in range(2):  # two files, taken in turn
         spark.createDataFrame([r for r in rows if r[1] // 20 == part], schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+        spark.createDataFrame([r for r in sizes if r[1] // 20 == part], "key bigint, idx bigint, size bigint").coalesce(1).write.parquet(str(tmp_path / "sizes"), mode="append")
     was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def streamed(made, name):
+        q = made.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
     try:
         frames = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        q = gop.stream_states(frames).writeStream.format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination()
-        got = {(r.key, r.idx): r.state for r in spark.table("states").collect()}
+        got = {(r.key, r.idx): (r.state, r.code) for r in streamed(gop.stream_states(frames), "states")}
+        packets = spark.readStream.schema("key bigint, idx bigint, size bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "sizes"))
+        qps = {(r.key, r.idx): r.qp for r in streamed(gop.stream_qp(packets, 50), "qps")}
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
-    batch = gop.with_state(spark.createDataFrame(rows, schema), F.col("is_i"), F.col("damaged"), ["key"], ["idx"])
-    assert got == {(r.key, r.idx): r.state for r in batch.collect()}
+    batch = gop.with_state(spark.createDataFrame(rows, schema), F.col("is_i"), F.col("status"), F.col("gop_id"), ["key"], ["idx"])
+    assert got == {(r.key, r.idx): (r.state, r.code) for r in batch.collect()}
+    walked = control.qp_feedback(spark.createDataFrame(sizes, "key bigint, idx bigint, size bigint"), ["key"], ["idx"], 50.0)
+    assert qps == {(r.key, r.idx): r.qp for r in walked.collect()}
+
+
+@pytest.mark.parametrize("part", [1, 3, 1000])
+def test_walks_in_parts(spark, part):
+    rows = [(k, i, (i * i * 7 + k * 3) % 19 - 9) for k in range(2) for i in range(30)]
+    got = control.clamped_walk(spark.createDataFrame(rows, "k int, i int, s int"), ["k"], ["i"], "s", 5, 0, 20, "at", part).collect()
+    want, now = {}, {}
+    for k, i, s in rows:
+        now[k] = want[k, i] = max(0, min(20, now.get(k, 5) + s))
+    assert {(r.k, r.i): r["at"] for r in got} == want
+
+
+@pytest.mark.parametrize("width", [1, 16, 4096])
+def test_containment_in_buckets(spark, width):
+    import random
+
+    rng = random.Random(width)
+    s = [(rng.randrange(3), rng.randrange(200), rng.randrange(30)) for _ in range(120)]
+    r = [(rng.randrange(3), lo, lo + rng.randrange(60)) for lo in (rng.randrange(200) for _ in range(40))]
+    want = sorted(x for x in set(s) if not any(m == x[0] and lo <= x[1] < hi and x[2] <= hi - x[1] for m, lo, hi in r))
+    sd, rd = spark.createDataFrame(list(set(s)), "m int, off bigint, size bigint"), spark.createDataFrame(r, "m int, lo bigint, hi bigint")
+    assert sorted(map(tuple, index.uncontained(sd, rd, ["m"], width).collect())) == want
