@@ -149,14 +149,14 @@ def bilinear_up(df: DataFrame, keys: list[str], src: tuple[int, int], dst: tuple
     """Centre-aligned with rational weights in both directions, rounded once. Each target row meets its two source
     rows by a join on their number."""
     (sw, sh), (dw, dh) = src, dst
-    place = lambda d: sample.centre(d, sh, dh)
-    plan = df.sparkSession.range(dh).select(F.col("id").alias("t"), place(F.col("id"))[0].alias("a"), place(F.col("id"))[1].alias("f")).withColumn("b", F.least(F.col("a") + 1, F.lit(sh - 1)))
+    left, part = sample.centre(F.col("id"), sh, dh)
+    plan = df.sparkSession.range(dh).select(F.col("id").alias("_t"), left.alias("_a"), part.alias("_f")).withColumn("_b", F.least(F.col("_a") + 1, F.lit(sh - 1)))
     wide = df.select(*keys, "y", F.transform(F.sequence(F.lit(0), F.lit(dw - 1)), lambda d: sample.centre_sum(F.col("s"), d, sw, dw)).alias("s"))
-    up = wide.join(F.broadcast(plan), F.col("y") == F.col("a")).select(*keys, "t", "b", "f", F.col("s").alias("s0"))  # the plan has one row a target row
-    both = up.join(wide.select(*keys, F.col("y").alias("b"), F.col("s").alias("s1")), [*keys, "b"])
+    up = wide.join(F.broadcast(plan), F.col("y") == F.col("_a")).select(*keys, "_t", "_b", "_f", F.col("s").alias("_s0"))  # the plan has one row a target row
+    both = up.join(wide.select(*keys, F.col("y").alias("_b"), F.col("s").alias("_s1")), [*keys, "_b"])
     den = 4 * dw * dh
-    s = _zip(lambda p, q: sample.floor_div(p * (F.lit(2 * dh) - F.col("f")) + q * F.col("f") + den // 2, den), F.col("s0"), F.col("s1"))
-    return both.select(*keys, F.col("t").alias("y"), s.alias("s"))
+    s = _zip(lambda p, q: sample.floor_div(p * (F.lit(2 * dh) - F.col("_f")) + q * F.col("_f") + den // 2, den), F.col("_s0"), F.col("_s1"))
+    return both.select(*keys, F.col("_t").alias("y"), s.alias("s"))
 
 
 def base_residual(df: DataFrame, base: DataFrame, keys: list[str], src: tuple[int, int], small: tuple[int, int], q: int) -> DataFrame:
@@ -199,7 +199,10 @@ def intra_candidates(top: Column, left: Column, corner: Column, mid: int) -> Col
         return {0: m, 1: mean, 2: a(x), 3: b(y), 6: a(x + y + 1), 7: b(F.least(x + y + 1, F.lit(7)))}[mode]
 
     cells = F.sequence(F.lit(0), F.lit(63))
-    return F.array(*[F.transform(cells, lambda k, mode=mode: cell(k, mode)) for mode in range(MODES)])
+    def predicted(mode: int) -> Column:
+        return F.transform(cells, lambda k: cell(k, mode))
+
+    return F.array(*[predicted(mode) for mode in range(MODES)])
 
 
 def intra_choice(candidates: Column) -> Column:

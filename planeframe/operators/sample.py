@@ -187,7 +187,8 @@ def converted(pixels: Column, out: str, peak: int, depth: int = 10, shift: int =
     opaque = F.lit(most << shift).cast("bigint")
     alpha = F.transform(pixels, lambda p: F.coalesce(F.shiftleft(F.greatest(F.least(F.rint(part(p, "a") * f(most)), F.lit(float(most))), F.lit(0.0)).cast("bigint"), shift), opaque))
     if out == "gbr":
-        return (*[F.transform(pixels, lambda p, c=c: clip(part(p, c) * f(scale))) for c in "gbr"], alpha)
+        direct = lambda c: F.transform(pixels, lambda p: clip(part(p, c) * f(scale)))
+        return direct("g"), direct("b"), direct("r"), alpha
     u, v = F.transform(pixels, lambda p: chroma(p, "b", kb)), F.transform(pixels, lambda p: chroma(p, "r", kr))
     if out == "422":
         u, v = halved_even(u), halved_even(v)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from planeframe import queries as core
+from planeframe import plans as core
 from planeframe import tables as T
 from planeframe.functions import scalar
 from planeframe.operators import block, control, index, sample
