@@ -37,11 +37,10 @@ def bits_of(value: Column, width: Column | int) -> Column:
 
 
 def packed(bits: Column) -> Column:
-    """Bit text as bytes, filled up with zeros."""
-    full = F.rpad(bits, (F.ceil(F.length(bits) / 8) * 8).cast("int"), F.lit("0"))
-    nibble = lambda i: F.conv(F.substring(full, i, F.lit(4)), 2, 16)
-    each = F.transform(F.sequence(F.lit(1), F.length(full), F.lit(4)), nibble)
-    return F.when(F.length(bits) > 0, F.unhex(F.array_join(each, ""))).otherwise(F.unhex(F.lit("")))
+    """Bit text as bytes, filled up with zeros: 32 bits at a time, in one pass."""
+    full = F.rpad(bits, (F.ceil(F.length(bits) / 32) * 32).cast("int"), F.lit("0"))
+    each = F.transform(F.regexp_extract_all(full, F.lit(".{32}"), F.lit(0)), lambda x: F.lpad(F.conv(x, 2, 16), 8, "0"))
+    return F.unhex(F.left(F.array_join(each, ""), (F.ceil(F.length(bits) / 8) * 2).cast("int")))
 
 
 def trailing_zeros(v: Column) -> Column:

@@ -114,6 +114,13 @@ def scan(df: DataFrame) -> DataFrame:
     return held(df, "coef", F.transform(order, lambda i: F.get("coef", i)))
 
 
+def unscan(df: DataFrame) -> DataFrame:
+    """coef in natural order, from zigzag order."""
+    place = {i: p for p, i in enumerate(T.zigzag())}
+    order = F.array(*[F.lit(place[i]) for i in range(64)])
+    return held(df, "coef", F.transform(order, lambda i: F.get("coef", i)))
+
+
 def run_level(df: DataFrame) -> DataFrame:
     """pairs: (run of zeros, level) for each non-zero AC coefficient of a scanned block; DC is position 0.
 
