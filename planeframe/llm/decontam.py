@@ -27,8 +27,8 @@ MASKS = ("11111000", "11011010", "10110110", "10101101", "00011111", "11110010",
 SPAN = 8
 #: An overlap: at least so many tokens (or the whole item), of which so many percent agree.
 MIN_TOKENS, PERCENT = 13, 80
-#: Items that are kept in every task at once; with more of them, documents and items are joined by their hashes.
-ITEMS_AT_ONCE = 50_000
+#: Items, and bytes of them, that are kept in every task at once; beyond, documents and items are joined by their hashes.
+ITEMS_AT_ONCE, ITEM_BYTES = 50_000, 64 << 20
 #: Hits that are expanded at once.
 HITS_AT_ONCE = 1 << 20
 
@@ -291,9 +291,10 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     low = F.lower("text")
     rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(low).alias("tk"), low.alias("text"))
     items = narrow(benchmark, "item_id", "text").filter("text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), low.alias("text")).distinct()
-    if items.count() > ITEMS_AT_ONCE:
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    if n > ITEMS_AT_ONCE or (size or 0) > ITEM_BYTES:
         return _joined(rows, items)
-    got = items.orderBy("item_id", "text").collect()  # few, and counted
+    got = items.orderBy("item_id", "text").collect()  # few and short, as counted
     shared = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in got], [r[1] for r in got]))
     return rows.mapInArrow(released(_scan(shared)), _FOUND)
 
@@ -305,8 +306,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stretches without ASCII white space, in lower case. Items of fewer than SPAN words are found where they stand
     whole, also those of one word. Null and blank texts on either side overlap with nothing; null ids are kept as
     they are; repeated rows give repeated rows, repeated items one; ties go to the earlier place; other columns
-    are ignored; an empty table on either side gives no rows. Test items are counted first: up to ITEMS_AT_ONCE
-    go to every task, more of them are joined by their hashes.
+    are ignored; an empty table on either side gives no rows. Test items are counted first: up to ITEMS_AT_ONCE of
+    ITEM_BYTES bytes go to every task, more of them are joined by their hashes.
     """
     return found(docs, benchmark).drop("tk")
 
