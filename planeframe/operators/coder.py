@@ -439,6 +439,41 @@ def pair_residuals(pairs: Column) -> Column:
     return F.flatten(F.transform(pairs, lambda p: F.concat(F.array_repeat(F.lit(0).cast("bigint"), p["run"].cast("int")), F.when(p["level"] != 0, F.array(p["level"])).otherwise(F.expr("CAST(array() AS array<bigint>)")))))
 
 
+def residual_slice(df: DataFrame) -> DataFrame:
+    """k_level, k_run, payload of each row's `residuals`: runs as they are, levels mapped, the pair of zeros at the end
+    with level 0 where there are any. Alpha bands and layers of a base are coded so."""
+    total = lambda of: F.aggregate(of, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    df = block.held(df, "_p", F.transform(residual_pairs(F.col("residuals")), lambda p: F.struct(p["run"].alias("run"), block.fold(p["level"]).alias("level"))))
+    # levels without the end mark, runs with it
+    levels = F.filter(F.transform("_p", lambda p: p["level"]), lambda m: m > 0)
+    sums = F.struct(total(levels).alias("level"), F.size(levels).cast("bigint").alias("n"), total(F.transform("_p", lambda p: p["run"])).alias("run"), F.size("_p").cast("bigint").alias("pairs"))
+    df = block.held(df, "_s", sums)
+    df = block.held(df, "_k", F.struct(block.rice_k(F.col("_s.level"), F.col("_s.n")).alias("level"), block.rice_k(F.col("_s.run"), F.col("_s.pairs")).alias("run")))
+    df = block.held(df, "_bits", _all(F.col("_p"), lambda p: F.concat(rice_code(p["run"], F.col("_k.run")), rice_code(p["level"], F.col("_k.level")))))
+    return df.select("*", F.col("_k.level").alias("k_level"), F.col("_k.run").alias("k_run"), B.packed(F.col("_bits")).alias("payload")).drop("_p", "_s", "_k", "_bits")
+
+
+def residual_decode(df: DataFrame, most: int = MOST_ALPHA) -> DataFrame:
+    """(id, status, residuals) of df(id, count, k_level, k_run, payload)."""
+
+    def one(count: int, k_level: int, k_run: int, payload: bytes) -> list[int]:
+        bits, out = Bits(payload), []
+        while len(out) < count:
+            left = count - len(out)
+            run, m = rice_symbol(bits, k_run, left), rice_symbol(bits, k_level, most)
+            if (m == 0) != (run == left):  # zeros up to the end, and only they, have no level
+                raise ValueError("a run beyond the band")
+            out += [0] * run + ([unfold(m)] if m else [])
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_safely(one, *x) for x in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.list_(pa.int64()))], ["id", "status", "residuals"])
+
+    return df.select("id", "count", "k_level", "k_run", "payload").mapInArrow(work, "id bigint, status int, residuals array<bigint>")
+
+
 def med_decode(df: DataFrame) -> DataFrame:
     """(id, samples) of df(id, width, residuals): the samples of a band under the median edge detector, whose
     neighbours are the samples decoded before."""

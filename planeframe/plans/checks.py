@@ -132,6 +132,20 @@ def image_descriptions(spark, sf_dir):
     return o.select("o_orderkey", image.description_status(F.col("s")).alias("status"), image.crosscheck(F.col("s"), F.col("h")).alias("inside"))
 
 
+@query("""WITH k AS (SELECT o_orderkey AS o, o_orderkey % 3 AS pf, [10, 12, 16][CAST(o_orderkey // 3 % 3 AS INTEGER) + 1] AS d, [3, 5, 6][CAST(o_orderkey // 9 % 3 AS INTEGER) + 1] AS p FROM orders),
+i AS (SELECT *, CASE WHEN pf = 0 AND p = 3 AND d IN (10, 12) THEN 0 WHEN pf = 2 AND d = 10 AND p = 5 THEN 1 WHEN pf = 2 AND d = 12 AND p IN (5, 6) THEN 2 WHEN pf = 2 AND d = 16 AND p = 5 THEN 4 END AS ip FROM k)
+SELECT o AS o_orderkey, CAST(ip AS BIGINT) AS image_profile, CASE WHEN ip IS NOT NULL THEN 0 END AS inside, CASE WHEN ip IS NOT NULL THEN 0 END AS status FROM i""")
+def image_derive(spark, sf_dir):
+    """Descriptions made from packet headers: they keep all rules and agree with the header they come from."""
+    k = F.col("o_orderkey")
+    pick = lambda d, v: F.get(F.array(*[F.lit(x) for x in v]), (F.floor(k / d) % len(v)).cast("int"))
+    fixed = {"visible_width": 60, "visible_height": 20, "alpha_mode": 0, "alpha_bit_depth": 0, "flags": 0, "color_range": 1, "color_primaries": 1, "color_transfer": 1, "color_matrix": 1, "chroma_siting": 0, "sar_num": 0, "sar_den": 0}
+    h = F.struct(*[F.lit(v).alias(n) for n, v in fixed.items()], (k % 3).alias("pixel_format"), pick(3, (10, 12, 16)).alias("bit_depth"), pick(9, (3, 5, 6)).alias("profile"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", h.alias("h")).withColumn("s", image.described(F.col("h")))
+    made = F.col("s.image_profile").isNotNull()
+    return o.select("o_orderkey", "s.image_profile", F.when(made, image.crosscheck(F.col("s"), F.col("h"))).alias("inside"), F.when(made, image.description_status(F.col("s"))).alias("status"))
+
+
 @query("SELECT doc_id, octet_length(encode(source)) BETWEEN 1 AND 4096 AS name_ok, octet_length(encode(text)) BETWEEN 1 AND 4096 AND NOT regexp_matches(text, '[\\x00-\\x1F\\x7F]') AS text_ok, false AS profile_ok FROM documents")
 def metadata_check(spark, sf_dir):
     """Whether sources and texts may be names of colour spaces, and texts colour profiles."""

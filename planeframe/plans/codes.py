@@ -207,6 +207,14 @@ def alpha_roundtrip(spark, sf_dir):
     return _long(coder.med_decode(back).withColumnRenamed("id", "blk"), F.col("samples"))
 
 
+@query(f"WITH {_X} SELECT blk, i, s // 64 AS c FROM x")
+def alpha_payload_roundtrip(spark, sf_dir):
+    """Alpha bands through their bytes: Rice runs and levels out and in, then the samples predicted from one another."""
+    r = _residuals(spark, sf_dir).withColumn("count", F.size("residuals"))
+    back = coder.residual_decode(coder.residual_slice(r)).select("id", F.lit(8).alias("width"), "residuals")
+    return _long(coder.med_decode(back).withColumnRenamed("id", "blk"), F.col("samples"))
+
+
 @query(f"""{_LEVELS}, c AS (SELECT label, blk, i, run, {_FOLD.format('level')} AS m, lag(level) OVER (PARTITION BY blk ORDER BY i) AS p FROM rl),
 k AS (SELECT *, length(bin(m)) AS cat, CASE WHEN p IS NULL THEN NULL ELSE length(bin({_FOLD.format('p')})) END AS pc FROM c)
 SELECT label, CAST(CASE WHEN i < 8 THEN 0 WHEN i < 16 THEN 1 WHEN i < 32 THEN 2 ELSE 3 END AS BIGINT) AS place, CAST(CASE WHEN pc IS NULL THEN 4 WHEN pc = 0 THEN 0 WHEN pc = 1 THEN 1 WHEN pc <= 3 THEN 2 ELSE 3 END AS BIGINT) AS prev,

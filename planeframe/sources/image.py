@@ -187,6 +187,28 @@ def crosscheck(s: Column, h: Column) -> Column:
     return P.first_error([(r, CONFLICT) for r in rules])
 
 
+def described(h: Column) -> Column:
+    """The description of an image that follows from its packet's header: windows as large as the picture, square pixels
+    where the header names none, the image profile that goes with the packet's. A null profile goes with no image."""
+    g = lambda n: h[n].cast("bigint")
+    unit = (h["sar_num"] == 0) & (h["sar_den"] == 0)
+    lit = lambda v: F.lit(v).cast("bigint")
+    profile = F.lit(None).cast("bigint")
+    for p in range(5):
+        profile = F.when(combination_ok(lit(p), g("pixel_format"), g("bit_depth"), g("profile")), lit(p)).otherwise(profile)
+    alpha = h["alpha_mode"] != 0
+    fields = {
+        "flags": lit(0), "display_x_min": lit(0), "display_y_min": lit(0), "display_x_max": g("visible_width") - 1, "display_y_max": g("visible_height") - 1,
+        "data_x_min": lit(0), "data_y_min": lit(0), "data_x_max": g("visible_width") - 1, "data_y_max": g("visible_height") - 1, "orientation": lit(1),
+        "pixel_aspect_num": F.when(unit, lit(1)).otherwise(g("sar_num")), "pixel_aspect_den": F.when(unit, lit(1)).otherwise(g("sar_den")),
+        "channel_model": F.when(h["pixel_format"] == 3, lit(3)).when(h["pixel_format"] == 2, lit(0)).otherwise(lit(1)), "channel_count": F.when(alpha, lit(4)).otherwise(lit(3)),
+        "sample_kind": F.when(profile == 4, lit(1)).otherwise(lit(0)), "valid_bit_depth": g("bit_depth"), "container_bit_depth": g("bit_depth"), "storage_layout": lit(1),
+        "alpha_presence": F.when(~alpha, lit(0)).when(h["flags"].bitwiseAND(F.lit(1)) != 0, lit(2)).otherwise(lit(1)), "image_profile": profile, "codec_profile": g("profile"),
+        **{n: g(n) for n in ("alpha_mode", "alpha_bit_depth", "pixel_format", "color_primaries", "color_transfer", "color_matrix", "color_range", "chroma_siting")},
+    }
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
 def colour_name_ok(raw: Column) -> Column:
     """A colour space's name: valid UTF-8 of 1 to 4096 bytes without control characters."""
     return F.octet_length(raw).between(1, 4096) & F.is_valid_utf8(raw.cast("string")) & ~F.coalesce(F.make_valid_utf8(raw.cast("string")).rlike(r"[\x00-\x1F\x7F]"), F.lit(False))

@@ -32,6 +32,29 @@ def with_state(df: DataFrame, is_i: Column, status: Column, gop_id: Column, by:
     return df.withColumn("code", code.cast("int")).drop("_i", "_st", "_g", "_place", "_li", "_lb", "_lg")
 
 
+class Reference:
+    """The machine by itself, frame by frame: observe() says what becomes of a frame, abort() takes back the last one."""
+
+    def __init__(self, state: int = NO_REF, group: int = -1):
+        self.state, self.group = state, group
+        self._was = (state, group)
+
+    def observe(self, is_i: bool, status: int, gop_id: int) -> int:
+        self._was = (self.state, self.group)
+        if status:
+            self.state = INVALID
+            return int(status)
+        if is_i:
+            self.state, self.group = READY, int(gop_id)
+            return ACCEPTED
+        if self.state != READY:
+            return MALFORMED if self.state == NO_REF else REFERENCE
+        return ACCEPTED if gop_id == self.group else MALFORMED
+
+    def abort(self) -> None:
+        self.state, self.group = self._was
+
+
 class GopProcessor(StatefulProcessor):
     """The same machine for transformWithStateInPandas: rows (key, idx, is_i, status, gop_id) in, with state and code
     out. The state is stored after a batch went through, so that a batch that fails leaves the reference as it was."""
@@ -40,22 +63,13 @@ class GopProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", "state int, gop_id bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now, group = self.state.get() if self.state.exists() else (NO_REF, -1)
+        at = Reference(*(self.state.get() if self.state.exists() else ()))
         frames = pd.concat(list(rows)).sort_values("idx")
         states, codes = [], []
         for is_i, status, gop in zip(frames["is_i"], frames["status"], frames["gop_id"]):
-            code = int(status)
-            if status:
-                now = INVALID
-            elif is_i:
-                now, group = READY, int(gop)
-            elif now != READY:
-                code = MALFORMED if now == NO_REF else REFERENCE
-            elif gop != group:
-                code = MALFORMED
-            states.append(now)
-            codes.append(code)
-        self.state.update((int(now), int(group)))
+            codes.append(at.observe(bool(is_i), int(status), int(gop)))
+            states.append(at.state)
+        self.state.update((at.state, at.group))
         yield pd.DataFrame({"key": key[0], "idx": frames["idx"].to_numpy(), "state": states, "code": codes})
 
     def close(self) -> None:

@@ -145,3 +145,13 @@ def test_containment_in_buckets(spark, width):
     want = sorted(x for x in set(s) if not any(m == x[0] and lo <= x[1] < hi and x[2] <= hi - x[1] for m, lo, hi in r))
     sd, rd = spark.createDataFrame(list(set(s)), "m int, off bigint, size bigint"), spark.createDataFrame(r, "m int, lo bigint, hi bigint")
     assert sorted(map(tuple, index.uncontained(sd, rd, ["m"], width).collect())) == want
+
+
+def test_a_frame_is_taken_back():
+    at = gop.Reference()
+    assert (at.observe(False, 0, 1), at.state) == (gop.MALFORMED, gop.NO_REF)
+    assert (at.observe(True, 0, 1), at.state) == (gop.ACCEPTED, gop.READY)
+    assert (at.observe(True, 0, 2), at.group) == (gop.ACCEPTED, 2)
+    at.abort()
+    assert (at.state, at.group) == (gop.READY, 1) and at.observe(False, 0, 2) == gop.MALFORMED and at.observe(False, 0, 1) == 0
+    assert (at.observe(False, -11, 1), at.state) == (-11, gop.INVALID) and at.observe(False, 0, 1) == gop.REFERENCE

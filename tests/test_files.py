@@ -222,3 +222,22 @@ def test_headers_read_no_payload(spark):
     """A header costs the same whatever the packet holds; empty and short contents are refused."""
     df = spark.createDataFrame([(bytearray(b""),), (bytearray(b"TPIC" + bytes(49)),), (None,)], "content binary")
     assert [r.status for r in packet.parsed(df).collect()] == [-10, -11, -10]
+
+
+def test_streams_take_few_files_at_once(spark, tmp_path):
+    for i in range(5):
+        with open(tmp_path / f"m{i}.mov", "wb") as f:
+            f.write(movie.write(movie_of(i + 1)))
+    batches = []
+    q = files.stream(spark, str(tmp_path / "*.mov"), 2).writeStream.foreachBatch(lambda df, n: batches.append(df.count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(batches) == 5 and max(batches) <= 2
+
+
+def test_damaged_alpha_bands(spark):
+    rows = [(1, [0, 0, 5, -3, 0, 0]), (2, [0] * 6), (3, [70000, 1, 0, 0, 0, 2])]
+    s = coder.residual_slice(spark.createDataFrame(rows, "id bigint, residuals array<bigint>")).withColumn("count", F.lit(6))
+    assert {r.id: r.residuals for r in coder.residual_decode(s).collect() if r.status == 0} == {1: rows[0][1], 2: rows[1][1]}
+    assert {r.id: r.status for r in coder.residual_decode(s).collect()}[3] == -9  # beyond the levels' domain
+    cut = s.withColumn("payload", F.expr("substring(payload, 1, octet_length(payload) - 1)")).filter("id = 1")
+    assert coder.residual_decode(cut).first().status == -10
