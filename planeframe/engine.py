@@ -10,13 +10,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planeframe import tables as T
-from planeframe.operators import block, coder, plane
+from planeframe.operators import block, coder, plane, sample
 from planeframe.sources import packet
 
 
 @dataclass(frozen=True)
 class Config:
-    """A frame's geometry and coding: 4:2:2 (0) or 4:4:4 (1) of `depth` bits; `rows` block rows a slice."""
+    """A frame's geometry and coding: 4:2:2 (0) or 4:4:4 (1) of `depth` bits; `rows` block rows a slice; with alpha, a
+    fourth plane of 16 bits that is coded without loss."""
 
     width: int
     height: int
@@ -25,6 +26,7 @@ class Config:
     pixel_format: int = 0
     matrix: int = 0
     rows: int = 2
+    alpha: bool = False
 
     def size(self, chroma: bool) -> tuple[int, int]:
         return ((self.width + 1) // 2 if chroma and self.pixel_format == 0 else self.width), self.height
@@ -38,7 +40,7 @@ class Config:
         minor = {(0, 10): 0, (0, 12): 1, (1, 10): 2, (1, 12): 2}[self.pixel_format, self.depth]
         return {
             "version_major": 1, "version_minor": max(minor, 4 if self.qp >= 64 else 0), "profile": 3, "pixel_format": self.pixel_format, "bit_depth": self.depth, "coded_width": w, "coded_height": h,
-            "visible_width": self.width, "visible_height": self.height, "plane_count": 3, "qmatrix_id": self.matrix, "qp_base": self.qp, "color_range": 1, "color_primaries": 1, "color_transfer": 1, "color_matrix": 1,
+            "visible_width": self.width, "visible_height": self.height, "plane_count": 3 + self.alpha, "alpha_mode": int(self.alpha), "alpha_bit_depth": 16 * self.alpha, "qmatrix_id": self.matrix, "qp_base": self.qp, "color_range": 1, "color_primaries": 1, "color_transfer": 1, "color_matrix": 1,
         }
 
 
@@ -54,7 +56,7 @@ def levels_of(planes: DataFrame, c: Config) -> DataFrame:
     """(f, plane, by, bx, coef): the quantised coefficients in scan order."""
     out = None
     for chroma in (False, True):
-        part = planes.filter((F.col("plane") > 0) if chroma else (F.col("plane") == 0))
+        part = planes.filter(F.col("plane").isin(1, 2) if chroma else (F.col("plane") == 0))
         coef = block.forward(block.level_shift(blocks_of(part, *c.coded(chroma)), F.col("s"), c.depth).drop("s"))
         quantised = block.scan(block.quantise(coef, c.qp, c.matrix, chroma))
         out = quantised if out is None else out.unionByName(quantised)
@@ -62,7 +64,7 @@ def levels_of(planes: DataFrame, c: Config) -> DataFrame:
 
 
 def encode(planes: DataFrame, c: Config) -> DataFrame:
-    """(f, content): one packet for each frame of planes(f, plane, y, s), planes 0 to 2."""
+    """(f, content): one packet for each frame of planes(f, plane, y, s), planes 0 to 2, and 3 with alpha."""
     b = levels_of(planes, c).withColumn("dc", F.get("coef", F.lit(0))).withColumn("slice", F.floor(F.col("by") / c.rows).cast("bigint"))
     left = F.lag("dc").over(Window.partitionBy("f", "plane", "slice", "by").orderBy("bx"))
     top = F.lag("dc").over(Window.partitionBy("f", "plane", "slice", "bx").orderBy("by"))
@@ -72,11 +74,39 @@ def encode(planes: DataFrame, c: Config) -> DataFrame:
     held = tokens.groupBy("f", "plane", "slice").agg(F.array_sort(F.collect_list(F.struct("by", "bx", "token"))).alias("x"))
     held = held.select("f", "plane", "slice", F.transform("x", lambda x: x["token"]).alias("tokens"), (F.array_max(F.transform("x", lambda x: x["by"])) + 1).alias("end"))
     s = coder.rice_slice(held)
+    s = s.select("f", "plane", "slice", "end", "k1", "k2", "k3", "payload")
+    if c.alpha:
+        a = coder.residual_slice(alpha_bands(planes, c))
+        s = s.unionByName(a.select("f", F.lit(3).cast("bigint").alias("plane"), "slice", "end", F.col("k_level").alias("k1"), F.col("k_run").alias("k2"), F.lit(0).cast("bigint").alias("k3"), "payload"))
     one = F.struct("plane", (F.col("slice") * c.rows).alias("block_y0"), (F.col("end") - F.col("slice") * c.rows).alias("block_h"), F.lit(64).alias("qp_delta_biased"), "k1", "k2", "k3", "payload")
     frames = s.groupBy("f").agg(F.array_sort(F.collect_list(one)).alias("slices"))
     return packet.built(frames, c.header(), F.col("slices")).select("f", "content")
 
 
+def alpha_bands(planes: DataFrame, c: Config) -> DataFrame:
+    """(f, slice, end, residuals) of plane 3: a slice's samples in raster order, less their predictions."""
+    w, h = c.coded(False)
+    rows = plane.padded(planes.filter("plane = 3").select("f", "y", "s"), ["f"], w, h).withColumn("slice", F.floor(F.col("y") / (8 * c.rows)).cast("bigint"))
+    bands = rows.groupBy("f", "slice").agg(F.array_sort(F.collect_list(F.struct("y", "s"))).alias("r"))
+    bands = bands.select("f", "slice", (F.col("slice") * c.rows + F.floor(F.size("r") / 8)).alias("end"), F.flatten(F.transform("r", lambda r: r["s"])).alias("s"))
+    bands = block.held(bands, "s", F.col("s"))
+    return bands.withColumn("residuals", F.transform(sample.med_residuals(F.col("s"), w), lambda x: x["resid"])).drop("s")
+
+
+def alpha_rows(slices: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
+    """(f, plane, y, s) and (f, bad) of the slices of plane 3; a damaged one is opaque."""
+    w, h = c.coded(False)
+    count = (F.col("block_h") * 8 * w).cast("int")
+    read = coder.residual_decode(slices.select("id", count.alias("count"), F.col("k1").alias("k_level"), F.col("k2").alias("k_run"), "payload"))
+    samples = coder.med_decode(read.filter("status = 0").select("id", F.lit(w).alias("width"), "residuals"))
+    each = slices.select("id", "f", "block_y0", "block_h").join(samples, "id", "left").withColumn("bad", F.col("samples").isNull())
+    filled = F.coalesce("samples", F.array_repeat(F.lit(65535).cast("bigint"), count))
+    row = lambda y: F.struct(y.cast("bigint").alias("y"), F.slice("v", y * w + 1, c.width).alias("s"))
+    rows = block.held(each, "v", filled).select("f", "block_y0", F.explode(F.transform(F.sequence(F.lit(0), (F.col("block_h") * 8).cast("int") - 1), row)).alias("r"))
+    rows = rows.select("f", F.lit(3).cast("bigint").alias("plane"), (F.col("block_y0") * 8 + F.col("r.y")).alias("y"), "r.s").filter(F.col("y") < h).filter(F.col("y") < c.height)
+    return rows, each.groupBy("f").agg(F.max(F.col("bad").cast("int")).alias("bad"))
+
+
 def decode(packets: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
     """(f, plane, y, s) and (f, status) of packets(f, content) of one configuration. A slice whose bytes are damaged is
     filled with the middle of the range and its frame has status 1; a frame whose structure is broken has no planes."""
@@ -85,7 +115,9 @@ def decode(packets: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
     wide = F.when(F.col("plane") > 0, c.coded(True)[0] // 8).otherwise(c.coded(False)[0] // 8)
     each = each.withColumn("width", wide).withColumn("id", F.col("f") * packet.MOST_SLICES + F.col("n"))
     payload = F.when(F.col("ok"), F.expr("substring(content, int(off + 1), int(size))")).otherwise(F.unhex(F.lit("")))
-    read = coder.rice_decode(each.withColumn("payload", payload).withColumn("n", (F.col("block_h") * F.col("width")).cast("int")))
+    every = each.withColumn("payload", payload)
+    each = every.filter("plane < 3")
+    read = coder.rice_decode(each.withColumn("n", (F.col("block_h") * F.col("width")).cast("int")))
     slices = each.select("id", "f", "plane", "block_y0", "block_h", "width").join(read, "id")
     whole = F.col("status") == 0
     # neutral blocks are all zero: half of the range after the inverse
@@ -101,6 +133,9 @@ def decode(packets: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
         rows = rows_of(x, *c.size(chroma))
         out = rows if out is None else out.unionByName(rows)
     bad = slices.groupBy("f").agg(F.max((~whole).cast("int")).alias("bad"))
+    if c.alpha:
+        rows, worse = alpha_rows(every.filter("plane = 3"), c)
+        out, bad = out.unionByName(rows), bad.unionByName(worse).groupBy("f").agg(F.max("bad").alias("bad"))
     status = p.select("f", "status").join(bad, "f", "left").select("f", F.when(F.col("status") < 0, F.col("status")).otherwise(F.coalesce("bad", F.lit(0))).cast("int").alias("status"))
     return out, status
 
