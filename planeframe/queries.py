@@ -195,10 +195,10 @@ def area_down(spark, sf_dir):
     return out.select("blk", (F.col("y") * 3 + F.col("d")).cast("bigint").alias("i"), "c")
 
 
-@query(f"""WITH {_X}, d AS (SELECT range AS d FROM range(12)), r AS (SELECT blk, i // 8 AS y, i % 8 AS k, s FROM x),
-g AS (SELECT d, greatest(0, ((2 * d + 1) * 8 - 12)) AS num FROM d),
+@query(f"""WITH {_X}, r AS (SELECT blk, i // 8 AS y, list(s ORDER BY i) AS a FROM x GROUP BY ALL),
+g AS (SELECT range AS d, greatest(0, ((2 * range + 1) * 8 - 12)) AS num FROM range(12)),
 h AS (SELECT d, least(7, num // 24) AS l, CASE WHEN num // 24 >= 7 THEN 0 ELSE num % 24 END AS fr FROM g)
-SELECT a.blk, CAST(a.y * 12 + h.d AS BIGINT) AS i, CAST((a.s * (24 - h.fr) + b.s * h.fr + 12) // 24 AS BIGINT) AS c FROM h JOIN r a ON a.k = h.l JOIN r b ON b.blk = a.blk AND b.y = a.y AND b.k = least(7, h.l + 1)""")
+SELECT blk, CAST(y * 12 + d AS BIGINT) AS i, CAST((a[l + 1] * (24 - fr) + a[least(8, l + 2)] * fr + 12) // 24 AS BIGINT) AS c FROM r, h""")
 def bilinear_up(spark, sf_dir):
     rows = samples(spark, sf_dir).select("blk", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), "s").withColumn("row", F.slice("s", F.col("y") * 8 + 1, F.lit(8)))
     out = rows.select("blk", "y", F.posexplode(sample.bilinear_up(F.col("row"), 8, 12)).alias("d", "c"))
@@ -224,7 +224,8 @@ def lift_roundtrip(spark, sf_dir):
     return _long(even, sample.unlift2(F.col("even"), F.col("d")))
 
 
-@query(f"""WITH {_X}, g AS (SELECT a.blk, a.i // 3 AS j, a.s AS a, coalesce(b.s, a.s) AS b, coalesce(c.s, b.s, a.s) AS c FROM x a LEFT JOIN x b ON b.blk = a.blk AND b.i = a.i + 1 LEFT JOIN x c ON c.blk = a.blk AND c.i = a.i + 2 WHERE a.i % 3 = 0)
+@query(f"""WITH {_X}, n AS (SELECT blk, i, s AS a, lead(s) OVER w AS b, lead(s, 2) OVER w AS c FROM x WINDOW w AS (PARTITION BY blk ORDER BY i)),
+g AS (SELECT blk, i // 3 AS j, a, coalesce(b, a) AS b, coalesce(c, b, a) AS c FROM n WHERE i % 3 = 0)
 SELECT blk, j, a - b AS d0, c - b AS d1, CAST(b + floor((a + c - 2 * b + 1) / 3.0) AS BIGINT) AS low FROM g""")
 def lift3_analyse(spark, sf_dir):
     low, d0, d1 = sample.lift3(F.col("s"))
