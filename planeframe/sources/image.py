@@ -135,6 +135,59 @@ def built(df: DataFrame, chunks: Column) -> DataFrame:
 # ---- descriptions -------------------------------------------------------------------------------------------
 
 
+# The description's fields (name, bytes) after its name, in order; 128 bytes with zeros at the end.
+DESCRIPTION = [
+    ("major", 2), ("minor", 2), ("size", 4), ("flags", 4), ("display_x_min", 4), ("display_y_min", 4), ("display_x_max", 4), ("display_y_max", 4),
+    ("data_x_min", 4), ("data_y_min", 4), ("data_x_max", 4), ("data_y_max", 4), ("orientation", 4), ("pixel_aspect_num", 4), ("pixel_aspect_den", 4),
+    ("channel_model", 1), ("channel_count", 1), ("sample_kind", 1), ("valid_bit_depth", 1), ("container_bit_depth", 1), ("storage_layout", 1),
+    ("subsampling", 1), ("chroma_siting", 1), ("alpha_presence", 1), ("alpha_mode", 1), ("alpha_bit_depth", 1), ("alpha_max_abs_err", 1), ("codec_id", 1),
+    ("payload_major", 1), ("payload_minor", 1), ("image_profile", 1), ("codec_profile", 1), ("pixel_format", 1), ("color_primaries", 1), ("color_transfer", 1),
+    ("color_matrix", 1), ("color_range", 1), ("iccp_ref", 1), ("ocio_ref", 1), ("payload_header_crc32", 4),
+]
+DESCRIPTION_SIZE = 128
+_SIGNED = frozenset(n for n, _ in DESCRIPTION if n.startswith(("display_", "data_")))
+
+
+def description_bytes(s: Column, names: list[str]) -> Column:
+    """The 128 bytes of a description, from a struct with the given fields; others are 0."""
+    value = {"major": F.lit(1), "size": F.lit(DESCRIPTION_SIZE), **{n: s[n] for n in names}}
+    body = F.concat(F.lit("IDSC").cast("binary"), *[B.to_be(value.get(n, F.lit(0)), w) for n, w in DESCRIPTION])
+    used = 4 + sum(w for _, w in DESCRIPTION)
+    return F.concat(body, F.unhex(F.lit("00" * (DESCRIPTION_SIZE - used))))
+
+
+def description(raw: Column) -> Column:
+    """The fields of a description's bytes; null if they are not 128 or begin otherwise."""
+    out, at = [], 4
+    for name, n in DESCRIPTION:
+        v = B.be(raw, at, n)
+        out.append((F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v) if name in _SIGNED else v).alias(name))
+        at += n
+    return F.when((F.octet_length(raw) == DESCRIPTION_SIZE) & (B.piece(raw, 0, 4) == F.lit("IDSC").cast("binary")), F.struct(*out))
+
+
+def with_packet(df: DataFrame, content: str = "content") -> DataFrame:
+    """df with content: an image file around each packet, described by the packet's own header."""
+    df = block.held(df, "_h", P.header(F.col(content)))
+    df = block.held(df, "_s", described(F.col("_h")))
+    names = [f.name for f in df.schema["_s"].dataType.fields]
+    chunk = lambda t, d: F.struct(F.lit(t).alias("fourcc"), F.lit(CRITICAL).cast("bigint").alias("flags"), d.alias("data"))
+    pixels = df.withColumnRenamed(content, "_packet")
+    made = built(pixels, F.array(chunk("IDSC", description_bytes(F.col("_s"), names)), chunk("PIXL", F.col("_packet"))))
+    return made.drop("_h", "_s", "_packet")
+
+
+def packets_of(df: DataFrame, content: str = "content") -> DataFrame:
+    """df with packet and status: the packet inside each file; the status is that of the file, then of the description,
+    then of both against each other."""
+    p = parsed(df, content)
+    p = block.held(p, "packet", chunk(F.col(content), F.col("chunks"), "PIXL"))
+    p = block.held(p, "_h", P.header(F.col("packet")))
+    p = block.held(p, "_s", description(chunk(F.col(content), F.col("chunks"), "IDSC")))
+    inside = P.first_error([(F.col("_s").isNull(), BAD_DIRECTORY), (description_status(F.col("_s")) != 0, BAD_DIRECTORY)], crosscheck(F.col("_s"), F.col("_h")))
+    return p.withColumn("status", F.when(F.col("status") == 0, inside).otherwise(F.col("status"))).drop("_h", "_s", "preamble", "chunks")
+
+
 def description_status(s: Column) -> Column:
     """Rules of an image description (a struct of its fields), the first violation counts."""
     return P.first_error(
