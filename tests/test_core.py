@@ -1,5 +1,7 @@
 """The core queries against their SQL, and properties that do not come from that SQL."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
@@ -24,8 +26,14 @@ def duck():
     return con
 
 
+#: Whole frames through several decodes take half a minute each; the smaller frames of test_files.py always run.
+SLOW = {"codec_roundtrip", "codec_damage", "image_decode"}
+
+
 @pytest.mark.parametrize("name", sorted(core.ORACLES))
 def test_oracle(spark, duck, name):
+    if name in SLOW and not os.environ.get("PLANEFRAME_SLOW"):
+        pytest.skip("slow")
     got = core.QUERIES[name](spark, SF).toPandas()
     want = duck.execute(core.ORACLES[name]).fetchdf()
     cols = sorted(got.columns)

@@ -188,7 +188,7 @@ def test_base_layers_read_no_residual(spark, tmp_path):
     assert "ReadSchema: struct<f:bigint,y:bigint,pred:array<bigint>>" in plan
 
 
-@pytest.mark.parametrize("w, h", [(1, 1), (33, 17)])
+@pytest.mark.parametrize("w, h", [(33, 17)])
 def test_frames_of_odd_sizes(spark, w, h):
     """At the finest step nothing is lost, and chroma of an odd width is as wide as its half rounded up."""
     c = engine.Config(w, h, 0)
