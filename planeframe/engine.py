@@ -150,9 +150,8 @@ def rows_of(blocks: DataFrame, w: int, h: int) -> DataFrame:
 
 def sized_qp(scanned: DataFrame, by: list[str], target: Column, books: tuple[list[int], list[int], list[int]], qps: range = range(T.QP_MAX + 1)) -> DataFrame:
     """(by, qp, bits): of scanned(by, coef: unquantised, in scan order) the smallest qp whose bits fit the target (an
-    aggregate of the group), else the largest. Blocks meet the qps in their own row: bits are summed up by qp."""
-    grid = F.array(*[F.struct(F.lit(q).cast("bigint").alias("qp"), F.lit(T.flat_step(q)).cast("bigint").alias("step")) for q in qps])
-    each = scanned.select(*by, "coef", F.explode(grid).alias("g")).select(*by, "g.qp", coder.coded_bits(F.col("coef"), F.col("g.step"), *books).alias("bits"))
+    aggregate of the group), else the largest. Bits are summed up by qp before they move."""
+    each = coder.coded_bits(scanned, by, [(q, T.flat_step(q)) for q in qps], *books)
     costs = each.groupBy(*by, "qp").agg(F.sum("bits").alias("bits"), F.count("*").alias("blocks"))
     fits = F.min(F.when(F.col("bits") <= target, F.struct("qp", "bits")))
     last = F.max(F.struct("qp", "bits"))

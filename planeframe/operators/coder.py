@@ -369,22 +369,34 @@ def rans_symbols(df: DataFrame) -> DataFrame:
     return df.select("id", "n", "freq", "payload").mapInArrow(work, "id bigint, status int, seq array<bigint>")
 
 
-def coded_bits(scanned: Column, q: Column, dc: list[int], level: list[int], run: list[int]) -> Column:
-    """Bits of a block of unquantised coefficients in scan order under a flat step q and the books' code lengths, end mark
-    included: one walk along the scan, without making the tokens. DC counts as predicted from nothing."""
-    dcs, levels, runs = (F.array(*[F.lit(n) for n in lens]) for lens in (dc, level, run))
-    size = lambda c, dead: F.greatest(F.call_function("div", F.abs(c) + F.shiftright(q, 1) - dead, q), F.lit(0).cast("bigint"))
-    mapped = lambda c, n: F.when((c < 0) & (n > 0), n * 2 - 1).otherwise(n * 2)
-    value = lambda lens, m: F.get(lens, category(m).cast("int")) + F.greatest(category(m) - 1, F.lit(0))
-    first = F.get(scanned, F.lit(0))
-
-    def step(acc: Column, c: Column) -> Column:
-        n = size(c, F.shiftright(q, 2))
-        more = F.get(runs, acc["run"].cast("int")) + value(levels, mapped(c, n))
-        return F.when(n == 0, F.struct((acc["run"] + 1).alias("run"), acc["bits"].alias("bits"))).otherwise(F.struct(F.lit(0).cast("bigint").alias("run"), (acc["bits"] + more).cast("bigint").alias("bits")))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("run"), (value(dcs, mapped(first, size(first, F.lit(0).cast("bigint")))) + F.lit(run[EOB])).cast("bigint").alias("bits"))
-    return F.aggregate(F.slice(scanned, 2, 63), start, step, lambda acc: acc["bits"])
+def coded_bits(df: DataFrame, by: list[str], steps: list[tuple[int, int]], dc: list[int], level: list[int], run: list[int]) -> DataFrame:
+    """(by, qp, bits): what each block of df(by, coef: unquantised, in scan order) takes under every (qp, flat step) and
+    the books' code lengths, end mark included; DC counts as predicted from nothing. A batch of blocks at a time."""
+    dcs, levels, runs = (np.array(x, np.int64) for x in (dc, level, run))
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*by).schema}
+
+    def value(lens: np.ndarray, m: np.ndarray) -> np.ndarray:
+        c = np.frexp(m.astype(np.float64))[1]  # bits of an integer
+        return lens[c] + np.maximum(c - 1, 0)
+
+    def one(x: np.ndarray, q: int) -> np.ndarray:
+        dead = np.full(64, q >> 2)
+        dead[0] = 0
+        size = np.maximum((np.abs(x) + (q >> 1) - dead) // q, 0)
+        m = np.where((x < 0) & (size > 0), 2 * size - 1, 2 * size)
+        bits = value(dcs, m[:, 0]) + runs[EOB]
+        at, place = np.nonzero(size[:, 1:])
+        before = np.concatenate([[-1], np.where(at[1:] == at[:-1], place[:-1], -1)])[: len(at)]
+        more = value(levels, m[at, place + 1]) + runs[place - before - 1]
+        return bits + np.bincount(at, more, len(x)).astype(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(len(by)).flatten(), np.int64).reshape(-1, 64)
+            for qp, q in steps:
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array(np.full(len(x), qp, np.int64)), pa.array(one(x, q))], [*by, "qp", "bits"])
+
+    return df.select(*by, "coef").mapInArrow(work, ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + ", qp bigint, bits bigint")
 
 
 def refined(df: DataFrame, qp: int, level: list[int], run: list[int], chroma: bool = False) -> DataFrame:
