@@ -219,10 +219,12 @@ SELECT movie, CAST(idx AS BIGINT) AS idx, chunk, CAST(off + coalesce(sum(size) O
 def chunk_samples(spark, sf_dir):
     """Samples laid into chunks: two each for the first three chunks, one up to the eighth, then three."""
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("movie"), "o_orderkey")
-    chunks = o.select("movie", F.row_number().over(Window.partitionBy("movie").orderBy("o_orderkey")).cast("bigint").alias("chunk"), (F.col("o_orderkey") * 1000).alias("off"))
-    runs = chunks.select("movie").distinct().select("movie", F.explode(F.array(*[F.struct(F.lit(a).cast("bigint").alias("first"), F.lit(p).cast("bigint").alias("per")) for a, p in ((1, 2), (4, 1), (9, 3))])).alias("r")).select("movie", "r.*")
-    n = chunks.groupBy("movie").agg(F.count("*").alias("n")).select("movie", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") * 3)).alias("idx"))
-    out = movie.chunk_samples(runs, chunks, n.withColumn("size", F.col("idx") % 90 + 10), ["movie"])
+    w = Window.partitionBy("movie").orderBy("o_orderkey")
+    chunks = o.select("movie", F.row_number().over(w).cast("bigint").alias("chunk"), (F.col("o_orderkey") * 1000).alias("off"), F.lead("o_orderkey").over(w).isNull().alias("last"))
+    runs = o.select("movie").distinct().select("movie", F.explode(F.array(*[F.struct(F.lit(a).cast("bigint").alias("first"), F.lit(p).cast("bigint").alias("per")) for a, p in ((1, 2), (4, 1), (9, 3))])).alias("r")).select("movie", "r.*")
+    # 0 to three times the number of chunks, made by the chunks: not by one task
+    n = chunks.select("movie", F.explode(F.sequence((F.col("chunk") - 1) * 3, F.col("chunk") * 3 - F.when(F.col("last"), 0).otherwise(1))).alias("idx"))
+    out = movie.chunk_samples(runs, chunks.drop("last"), n.withColumn("size", F.col("idx") % 90 + 10), ["movie"])
     return out
 
 
