@@ -24,11 +24,18 @@ def seconds(ticks: Column, timescale: Column) -> Column:
 
 
 def timecode(frame: Column, fps: int = 30, drop: int = 2) -> Column:
-    """HH:MM:SS:FF, with ';' before the frames if labels are dropped. Hours are not wrapped."""
+    """HH:MM:SS:FF, with ';' before the frames if labels are dropped. Hours are not wrapped: from 100 on they have more digits."""
     n = frame_label(frame, fps, drop)
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     s = div(n, fps)
-    return F.concat(two(div(s, 3600)), F.lit(":"), two(div(s, 60) % 60), F.lit(":"), two(s % 60), F.lit(";" if drop else ":"), two(n % fps))
+    hours = div(s, 3600)
+    return F.concat(F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), F.lit(":"), two(div(s, 60) % 60), F.lit(":"), two(s % 60), F.lit(";" if drop else ":"), two(n % fps))
+
+
+def two_hour_digits(text: Column) -> Column:
+    """A timecode whose hours show their first two digits alone, as a field of that width has them (SQL's lpad): to look
+    at, not to read back."""
+    return F.regexp_replace(text, r"^(\d\d)\d+", "$1")
 
 
 def timecode_frames(text: Column, fps: int = 30, drop: int = 2) -> Column:

@@ -190,7 +190,7 @@ SELECT movie, CAST(idx AS BIGINT) AS idx, lpad(CAST(n // 108000 AS VARCHAR), 2,
 def movie_timecodes(spark, sf_dir):
     """Every frame's label, from the movie's first one, and its time."""
     i = movie.index_of(movie.written(movies(spark, sf_dir))).select("movie", "timescale", "tc_start", F.posexplode("samples").alias("idx", "s"))
-    return i.select("movie", F.col("idx").cast("bigint").alias("idx"), scalar.timecode(F.col("tc_start") + F.col("idx")).alias("tc"), F.round(scalar.seconds(F.col("s.pts"), F.col("timescale")), 6).alias("seconds"))
+    return i.select("movie", F.col("idx").cast("bigint").alias("idx"), scalar.two_hour_digits(scalar.timecode(F.col("tc_start") + F.col("idx"))).alias("tc"), F.round(scalar.seconds(F.col("s.pts"), F.col("timescale")), 6).alias("seconds"))
 
 
 @query(f"""WITH {_MV} SELECT movie, '{{"movie":' || movie || ',"layout":"standard","width":60,"height":20,"timescale":25,"sample_count":' || count(*) || ',"duration_ticks":' || CAST(sum(dur) AS BIGINT) || ',"sync_samples":' || count(*) FILTER (sync) || '}}' AS json FROM sm GROUP BY movie""")
