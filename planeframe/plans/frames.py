@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from planeframe import engine, tables as T
 from planeframe.functions import binary as B
-from planeframe.operators import block, sample
+from planeframe.operators import block, plane, sample
 from planeframe.plans.codes import BOOKS
 from planeframe.plans.planes import H, W, _P, cells, planes
 from planeframe.queries import _F, _X, _Z, _q, blocks, query
@@ -56,7 +56,8 @@ PICTURE = engine.Config(W // 2, H, 60, pixel_format=0)
 
 @query(f"WITH {_P} SELECT f, CAST(0 AS INTEGER) AS status, CAST({W // 2} AS BIGINT) AS width, CAST({H} AS BIGINT) AS height, CAST(3 AS BIGINT) AS profile, CAST(0 AS BIGINT) AS image_profile, CAST({W // 2} * {H} AS BIGINT) AS samples, true AS close FROM (SELECT DISTINCT f FROM pl)")
 def image_decode(spark, sf_dir):
-    """Halved frames as image files around their packets and back: what the description says, and that luma comes out close."""
+    """Halved frames as image files around their packets and back: what the description says, and that luma comes out close.
+    A frame with fewer rows is coded, and compared, with its last row repeated."""
     p = planes(spark, sf_dir).select("f", "y", sample.pairs_422(F.col("s")).alias("s"))
     three = F.array(*[F.struct(F.lit(i).cast("bigint").alias("plane"), s.alias("s")) for i, s in enumerate((F.col("s"), sample.pairs_422(F.col("s")), sample.pairs_422(F.col("s"))))])
     made = image.with_packet(engine.encode(p.select("f", "y", F.explode(three).alias("x")).select("f", "x.plane", "y", "x.s"), PICTURE))
@@ -65,7 +66,7 @@ def image_decode(spark, sf_dir):
     about = read.select("f", "status", h["visible_width"].alias("width"), h["visible_height"].alias("height"), h["profile"].alias("profile"), image.described(h)["image_profile"].alias("image_profile"))
     rows, _ = engine.decode(read.select("f", F.col("packet").alias("content")), PICTURE)
     worst = F.array_max(F.zip_with("s", "was", lambda a, b: F.abs(a - b)))
-    both = rows.filter("plane = 0").select("f", "y", "s").join(p.withColumnRenamed("s", "was"), ["f", "y"]).groupBy("f").agg(F.sum(F.size("s")).alias("samples"), (F.max(worst) <= 40).alias("close"))
+    both = rows.filter("plane = 0").select("f", "y", "s").join(plane.padded(p, ["f"], W // 2, H).withColumnRenamed("s", "was"), ["f", "y"]).groupBy("f").agg(F.sum(F.size("s")).alias("samples"), (F.max(worst) <= 40).alias("close"))
     return about.join(both, "f")
 
 
