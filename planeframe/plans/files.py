@@ -174,8 +174,8 @@ def movie_atoms(spark, sf_dir):
 def movie_faststart(spark, sf_dir):
     """Rewritten with the index first: the same samples, whose bytes stand where the index says."""
     files = movie.faststart(movie.written(movies(spark, sf_dir)))
-    i = files.join(movie.index_of(files), "movie").select("movie", "content", "faststart", F.get("samples", F.lit(0))["off"].alias("first"), F.posexplode("samples").alias("idx", "s"))
-    return i.select("movie", F.col("idx").cast("bigint").alias("idx"), "faststart", (F.col("s.off") - F.col("first")).alias("rel"), "s.size", F.expr("CAST(substring(content, int(s.off + 1), int(s.size)) AS STRING)").alias("data"))
+    i = movie.sample_bytes(files)
+    return i.select("movie", F.col("idx").cast("bigint").alias("idx"), "faststart", (F.col("off") - F.col("first")).alias("rel"), "size", F.col("data").cast("string").alias("data"))
 
 
 @query(f"""WITH {_MV} SELECT movie, CAST(idx AS BIGINT) AS idx, CAST(36 + 5000 + off - 36 + (movie % 3) * 4294967296 AS BIGINT) AS off, max(off + 5000 + (movie % 3) * 4294967296) OVER (PARTITION BY movie) > 4294967295 AS wide FROM sm""")
