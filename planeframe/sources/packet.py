@@ -38,17 +38,9 @@ def message(status: Column) -> Column:
     return out
 
 
-def _fields(content: Column, layout: list[tuple[str, int]], at: Column | int) -> list[Column]:
-    out, pos = [], at
-    for name, n in layout:
-        out.append(B.be(content, pos, n).alias(name))
-        pos = pos + n
-    return out
-
-
 def header(content: Column) -> Column:
     """The header's fields as a struct; null where the bytes end."""
-    return F.struct(*_fields(content, HEADER, 4))
+    return B.be_struct(content, HEADER, 4)
 
 
 def geometry_errors(h: Column) -> list[tuple[Column, int]]:
@@ -100,7 +92,7 @@ def first_error(rules: list[tuple[Column, int]], otherwise: Column | None = None
 
 def header_status(content: Column, h: Column) -> Column:
     """Size, magic, checksum, then the fields in order; the first failure counts."""
-    return first_error(
+    rules = lambda h: first_error(
         [
             (F.coalesce(F.octet_length(content), F.lit(0)) < HEADER_SIZE, TRUNCATED),
             (F.substring(content, 1, 4) != F.lit(MAGIC).cast("binary"), MALFORMED),
@@ -109,6 +101,7 @@ def header_status(content: Column, h: Column) -> Column:
             (h["frame_packet_size"] != F.octet_length(content), MALFORMED),
         ]
     )
+    return B.once(h, rules)
 
 
 _SLICES = "array<struct<n:int,plane:bigint,block_y0:bigint,block_h:bigint,qp_delta_biased:bigint,k1:bigint,k2:bigint,k3:bigint,crc:bigint,off:bigint,size:bigint,ok:boolean>>"
@@ -120,8 +113,9 @@ def slices(content: Column, count: Column) -> Column:
     size = F.octet_length(content)
 
     def step(acc: Column, n: Column) -> Column:
-        at = acc["at"]
-        f = dict(zip([n for n, _ in SLICE], _fields(content, SLICE, at)))
+        return B.once(B.be_struct(content, SLICE, acc["at"]), lambda f: following(acc, n, acc["at"], f))
+
+    def following(acc: Column, n: Column, at: Column, f: Column) -> Column:
         inside = (at >= 0) & (at + SLICE_SIZE <= size) & (at + SLICE_SIZE + f["size"] <= size)
         off = at + SLICE_SIZE
         one = F.struct(
@@ -139,7 +133,7 @@ def slices(content: Column, count: Column) -> Column:
 def parsed(df: DataFrame, content: str = "content") -> DataFrame:
     """df with header, status (of header and structure; slices with bad checksums leave it at CONCEALED) and slices."""
     df = block.held(df.withColumn("header", header(F.col(content))), "header", header(F.col(content)))
-    df = df.withColumn("status", header_status(F.col(content), F.col("header")))
+    df = block.held(df, "status", header_status(F.col(content), F.col("header")))
     empty = F.expr(f"CAST(array() AS {_SLICES})")
     df = block.held(df, "slices", F.when(F.col("status") == OK, slices(F.col(content), F.col("header.slice_count"))).otherwise(empty))
     whole = F.size("slices") == F.col("header.slice_count")
@@ -152,17 +146,12 @@ def built(df: DataFrame, config: dict[str, Column | int], slices_: Column) -> Da
     (plane, block_y0, block_h, qp_delta_biased, k1, k2, k3, payload)."""
     body = F.transform(
         slices_,
-        lambda s: F.concat(
-            B.to_be(F.octet_length(s["payload"]), 4),
-            *[B.to_be(s[n], w) for n, w in SLICE[1:-1]],
-            B.to_be(F.crc32(s["payload"]), 4),
-            s["payload"],
-        ),
+        lambda s: F.concat(B.to_be_all([(F.octet_length(s["payload"]), 4), *[(s[n], w) for n, w in SLICE[1:-1]], (F.crc32(s["payload"]), 4)]), s["payload"]),
     )
     df = block.held(df, "_body", B.joined(body))
     value = {"header_size": HEADER_SIZE, "slice_count": F.size(slices_), "frame_packet_size": F.octet_length("_body") + HEADER_SIZE, **config}
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    front = F.concat(F.lit(MAGIC).cast("binary"), *[B.to_be(lit(value.get(n, 0)), w) for n, w in HEADER[:-1]])
+    front = F.concat(F.lit(MAGIC).cast("binary"), B.to_be_all([(lit(value.get(n, 0)), w) for n, w in HEADER[:-1]]))
     df = block.held(df, "_front", front)
     return df.withColumn("content", F.concat("_front", B.to_be(F.crc32("_front"), 4), "_body")).drop("_front", "_body")
 
