@@ -122,6 +122,14 @@ def decoded_blocks(n: int, width: int, symbol: Callable[[str], int]) -> list[lis
     return out
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few slices: what a slice decodes to is far larger than its payload, and a whole batch of
+    10,000 of them took hundreds of MB as lists."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
 def rice_decode(df: DataFrame) -> DataFrame:
     """(id, status, blocks) of df(id, n, width, k1, k2, k3, payload): blocks in scan order; status -10 where the
     payload ends too early, -9 where a value is out of its domain, with no blocks then."""
@@ -132,9 +140,9 @@ def rice_decode(df: DataFrame) -> DataFrame:
         return decoded_blocks(n, width, lambda family: rice_symbol(bits, k[family], most[family]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_safely(one, n, w, (a, b, c), p) for _, n, w, a, b, c, p in zip(*(x.to_pylist() for x in batch.columns))]
-            yield _decoded(batch.column(0), rows)
+        for part in few(batches):
+            rows = [_safely(one, n, w, (a, b, c), p) for _, n, w, a, b, c, p in zip(*(x.to_pylist() for x in part.columns))]
+            yield _decoded(part.column(0), rows)
 
     return df.select("id", "n", "width", "k1", "k2", "k3", "payload").mapInArrow(work, DECODED)
 
@@ -261,8 +269,8 @@ def vlc_decode(df: DataFrame, dc: list[int], level: list[int], run: list[int]) -
         return decoded_blocks(n, width, lambda family: read[family]())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _decoded(batch.column(0), [_safely(one, n, w, p) for _, n, w, p in zip(*(x.to_pylist() for x in batch.columns))])
+        for part in few(batches):
+            yield _decoded(part.column(0), [_safely(one, n, w, p) for _, n, w, p in zip(*(x.to_pylist() for x in part.columns))])
 
     return df.select("id", "n", "width", "payload").mapInArrow(work, DECODED)
 
