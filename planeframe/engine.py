@@ -1,15 +1,21 @@
 """Whole frames: planes to packets and back.
 
-Every slice is a group of its own from the transform to its payload, and every frame's slices meet once, when the packet
-is put together; so work spreads over slices, and what moves between tasks is rows of samples, tokens, then bytes."""
+A plane's rows move once, in order, and are coded slice by slice as they pass; every frame's slices meet once, when the
+packet is put together. Back, slices are spread over tasks by their payloads, and each turns into rows by itself, since it
+is as wide as its plane. So all planes are read, coded and decoded in one pass, whatever is asked of them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from planeframe import tables as T
+from planeframe.functions import binary as B
 from planeframe.operators import block, coder, plane, sample
 from planeframe.sources import packet
 
@@ -52,29 +58,112 @@ def blocks_of(planes: DataFrame, w: int, h: int) -> DataFrame:
     return bands.select("f", "plane", "by", F.explode(F.transform(F.sequence(F.lit(0), F.lit(w // 8 - 1)), cut)).alias("x")).select("f", "plane", "by", "x.*")
 
 
-def levels_of(planes: DataFrame, c: Config) -> DataFrame:
-    """(f, plane, by, bx, coef): the quantised coefficients in scan order."""
-    out = None
-    for chroma in (False, True):
-        part = planes.filter(F.col("plane").isin(1, 2) if chroma else (F.col("plane") == 0))
-        coef = block.forward(block.level_shift(blocks_of(part, *c.coded(chroma)), F.col("s"), c.depth).drop("s"))
-        quantised = block.scan(block.quantise(coef, c.qp, c.matrix, chroma))
-        out = quantised if out is None else out.unionByName(quantised)
-    return out
+@dataclass(frozen=True)
+class Coding:
+    """One slice of a colour plane, both ways, in numpy: samples (rows x columns) and blocks (n x 64, scan order)."""
+
+    c: Config
+    chroma: bool
+
+    def steps(self) -> np.ndarray:
+        return np.array([T.step(self.c.matrix, self.chroma, i, self.c.qp) for i in range(64)], np.int64)
+
+    def levels(self, s: np.ndarray) -> np.ndarray:
+        """As level_shift, forward, quantise and scan."""
+        x = s.reshape(s.shape[0] // 8, 8, -1, 8).swapaxes(1, 2).reshape(-1, 64) - (1 << self.c.depth - 1)
+        x, q = block.transformed(x), self.steps()
+        dead = np.where(np.arange(64) == 0, 0, q >> 2)
+        size = np.maximum(np.minimum(np.abs(x), T.MAX_COEFFICIENT) + (q >> 1) - dead, 0) // q
+        return np.where(x < 0, -size, size)[:, T.zigzag()]
+
+    def samples(self, levels: np.ndarray, width: int) -> np.ndarray:
+        """As unscan, dequantise and inverse, of blocks `width` of them side by side."""
+        x = np.empty_like(levels)
+        x[:, T.zigzag()] = levels
+        x = block.restored(np.clip(x * self.steps(), -T.MAX_COEFFICIENT, T.MAX_COEFFICIENT))
+        x = np.clip(x + (1 << self.c.depth - 1), 0, (1 << self.c.depth) - 1)
+        return x.reshape(-1, width, 8, 8).swapaxes(1, 2).reshape(-1, width * 8)
+
+
+def wide(values: pa.ListArray, w: int, fill: int) -> np.ndarray:
+    """The rows as a matrix of w columns, the last sample of shorter ones repeated; fill where there is none."""
+    flat = values.flatten()
+    flat = (flat.fill_null(fill) if flat.null_count else flat).to_numpy()
+    size = values.value_lengths().fill_null(0).to_numpy()
+    if len(size) and (size == size[0]).all() and size[0] >= w:
+        return flat.reshape(len(size), -1)[:, :w]
+    at = (np.cumsum(size) - size)[:, None] + np.minimum(np.arange(w), np.maximum(size, 1)[:, None] - 1)
+    return np.where(size[:, None] > 0, np.append(flat, fill)[np.minimum(at, len(flat))], fill)
+
+
+def bands(batches: Iterator[pa.RecordBatch], c: Config) -> Iterator[tuple[object, int, int, np.ndarray]]:
+    """f, plane, slice and samples (its coded rows and columns) of (f, plane, y, s) in that order, a slice at a time. The
+    last row of a plane is repeated down to its end; a row that is missing before it is grey."""
+    grey, tall = 1 << c.depth - 1, 8 * c.rows
+    size = {p: c.coded(p > 0) for p in (0, 1, 2)}
+    key, held, last = None, None, -1  # the slice at work, its samples, its last row so far
+
+    def done(whole_plane: bool) -> Iterator[tuple[object, int, int, np.ndarray]]:
+        f, p, n = key
+        if not whole_plane:
+            yield f, p, n, held
+            return
+        row, h = held[last - n * tall], size[p][1]
+        held[last - n * tall :] = row
+        yield f, p, n, held
+        for more in range(n + 1, -(-h // tall)):
+            yield f, p, more, np.tile(row, (min(tall, h - more * tall), 1))
+
+    for batch in batches:
+        f = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        plane, y = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        n = y // tall
+        cut = np.flatnonzero((f[1:] != f[:-1]) | (plane[1:] != plane[:-1]) | (n[1:] != n[:-1])) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(y)]):
+            if lo == hi:
+                continue
+            now = batch.column(0)[lo].as_py(), int(plane[lo]), int(n[lo])
+            w, h = size[now[1]]
+            if now != key:
+                if key is not None:
+                    yield from done(now[:2] != key[:2])
+                key, held = now, np.full((min(tall, h - now[2] * tall), w), grey, np.int64)
+            held[y[lo:hi] - now[2] * tall] = wide(batch.column(3).slice(lo, hi - lo), w, grey)
+            last = int(y[hi - 1])
+    if key is not None:
+        yield from done(True)
 
 
 def encode(planes: DataFrame, c: Config) -> DataFrame:
     """(f, content): one packet for each frame of planes(f, plane, y, s), planes 0 to 2, and 3 with alpha."""
-    b = levels_of(planes, c).withColumn("dc", F.get("coef", F.lit(0))).withColumn("slice", F.floor(F.col("by") / c.rows).cast("bigint"))
-    left = F.lag("dc").over(Window.partitionBy("f", "plane", "slice", "by").orderBy("bx"))
-    top = F.lag("dc").over(Window.partitionBy("f", "plane", "slice", "bx").orderBy("by"))
-    b = b.withColumn("l", left).withColumn("t", top)
-    pred = F.when(F.col("l").isNull() & F.col("t").isNull(), 0).when(F.col("t").isNull(), F.col("l")).when(F.col("l").isNull(), F.col("t")).otherwise(F.floor((F.col("l") + F.col("t") + 1) / 2))
-    tokens = coder.tokens(block.run_level(b.withColumn("pred", pred.cast("bigint"))))
-    held = tokens.groupBy("f", "plane", "slice").agg(F.array_sort(F.collect_list(F.struct("by", "bx", "token"))).alias("x"))
-    held = held.select("f", "plane", "slice", F.transform("x", lambda x: x["token"]).alias("tokens"), (F.array_max(F.transform("x", lambda x: x["by"])) + 1).alias("end"))
-    s = coder.rice_slice(held)
-    s = s.select("f", "plane", "slice", "end", "k1", "k2", "k3", "payload")
+    rows = planes.filter(F.col("plane").isin(0, 1, 2) & (F.col("y") >= 0) & (F.col("y") < c.coded(False)[1]))
+    rows = rows.select("f", F.col("plane").cast("bigint").alias("plane"), F.col("y").cast("bigint").alias("y"), F.col("s").cast("array<bigint>").alias("s"))
+    names = ["plane", "slice", "end", "k1", "k2", "k3"]
+    schema = StructType([rows.schema["f"], *[StructField(n, LongType()) for n in names], StructField("payload", BinaryType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, made, held = None, [], 0
+
+        def batch() -> pa.RecordBatch:
+            f, *numbers, payload = zip(*made)
+            return pa.RecordBatch.from_arrays([pa.array(f, kind), *[pa.array(x, pa.int64()) for x in numbers], pa.array(payload, pa.binary())], ["f", *names, "payload"])
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for b in batches:
+                kind = b.column(0).type
+                yield b
+
+        for f, p, n, s in bands(seen(), c):
+            made.append((f, p, n, n * c.rows + len(s) // 8, *coder.rice_payload(Coding(c, p > 0).levels(s), s.shape[1] // 8)))
+            held += len(made[-1][-1])
+            if len(made) == 1024 or held > 1 << 22:
+                yield batch()
+                made, held = [], 0
+        if made:
+            yield batch()
+
+    s = rows.repartition("f", "plane").sortWithinPartitions("f", "plane", "y").mapInArrow(work, schema)
     if c.alpha:
         a = coder.residual_slice(alpha_bands(planes, c))
         s = s.unionByName(a.select("f", F.lit(3).cast("bigint").alias("plane"), "slice", "end", F.col("k_level").alias("k1"), F.col("k_run").alias("k2"), F.lit(0).cast("bigint").alias("k3"), "payload"))
@@ -93,59 +182,72 @@ def alpha_bands(planes: DataFrame, c: Config) -> DataFrame:
     return bands.withColumn("residuals", F.transform(sample.med_residuals(F.col("s"), w), lambda x: x["resid"])).drop("s")
 
 
-def alpha_rows(slices: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
-    """(f, plane, y, s) and (f, bad) of the slices of plane 3; a damaged one is opaque."""
-    w, h = c.coded(False)
-    count = (F.col("block_h") * 8 * w).cast("int")
-    read = coder.residual_decode(slices.select("id", count.alias("count"), F.col("k1").alias("k_level"), F.col("k2").alias("k_run"), "payload"))
-    samples = coder.med_decode(read.filter("status = 0").select("id", F.lit(w).alias("width"), "residuals"))
-    each = slices.select("id", "f", "block_y0", "block_h").join(samples, "id", "left").withColumn("bad", F.col("samples").isNull())
-    filled = F.coalesce("samples", F.array_repeat(F.lit(65535).cast("bigint"), count))
-    row = lambda y: F.struct(y.cast("bigint").alias("y"), F.slice("v", y * w + 1, c.width).alias("s"))
-    rows = block.held(each, "v", filled).select("f", "block_y0", F.explode(F.transform(F.sequence(F.lit(0), (F.col("block_h") * 8).cast("int") - 1), row)).alias("r"))
-    rows = rows.select("f", F.lit(3).cast("bigint").alias("plane"), (F.col("block_y0") * 8 + F.col("r.y")).alias("y"), "r.s").filter(F.col("y") < h).filter(F.col("y") < c.height)
-    return rows, each.groupBy("f").agg(F.max(F.col("bad").cast("int")).alias("bad"))
+def slice_samples(c: Config, plane: int, block_h: int, ks: tuple[int, int, int], payload: bytes) -> tuple[bool, np.ndarray]:
+    """Whether a slice's bytes are damaged, and its samples: then the middle of the range, opaque for alpha."""
+    if plane == 3:
+        w = c.coded(False)[0]
+        bad, r = coder.safely(coder.band_residuals, block_h * 8 * w, *ks[:2], payload)
+        return bad != 0, np.full((1, c.width), 65535) if bad else np.array(coder.med_samples(w, r), np.int64).reshape(-1, w)[:, : c.width]
+    width, w = c.coded(plane > 0)[0] // 8, c.size(plane > 0)[0]
+    bad, blocks = coder.safely(coder.rice_blocks, block_h * width, width, ks, payload)
+    return bad != 0, np.full((1, w), 1 << c.depth - 1) if bad else Coding(c, plane > 0).samples(np.array(blocks, np.int64).reshape(-1, 64), width)[:, :w]
+
+
+def slices_of(packets: DataFrame, c: Config) -> DataFrame:
+    """(f, status, plane, block_y0, block_h, k1, k2, k3, payload: empty where its checksum fails) of the slices to decode;
+    one row without a plane for a frame that has none."""
+    p = packet.parsed(packets)
+    own = F.filter("slices", lambda x: (F.col("status") >= 0) & (x["plane"] < 3 + c.alpha))
+    cut = lambda x: F.struct(*[x[n].alias(n) for n in ("plane", "block_y0", "block_h", "k1", "k2", "k3")], F.when(x["ok"], B.piece(F.col("content"), x["off"], x["size"])).otherwise(F.unhex(F.lit(""))).alias("payload"))
+    return p.select("f", "status", F.explode_outer(F.transform(own, cut)).alias("x")).select("f", "status", "x.*")
+
+
+def decoded(packets: DataFrame, c: Config) -> DataFrame:
+    """(f, plane, y, s, bad) of packets(f, content) of one configuration: all planes in one pass. bad is 1 in the rows of a
+    slice whose bytes are damaged, which are filled with the middle of the range."""
+    s = slices_of(packets, c).filter("plane IS NOT NULL AND f IS NOT NULL").drop("status")
+    # what a slice decodes to is far larger than its bytes: as many tasks as any shuffle, not as few as the bytes would fill
+    s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f", "plane", "block_y0")
+    schema = StructType([s.schema["f"], StructField("plane", LongType()), StructField("y", LongType()), StructField("s", ArrayType(LongType())), StructField("bad", LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in coder.few(batches):
+            made, held = [], 0
+            for i, (plane, y0, block_h, *ks, payload) in enumerate(zip(*(x.to_pylist() for x in part.columns[1:]))):
+                n = max(0, min(c.height - y0 * 8, block_h * 8))  # rows in the picture
+                bad, x = slice_samples(c, plane, block_h, ks, payload)
+                made.append((i, plane, y0 * 8, np.repeat(x, n, 0) if bad else x[:n], bad))
+                held += made[-1][3].size
+                if held > 1 << 20:
+                    yield rows(part, made)
+                    made, held = [], 0
+            if made:
+                yield rows(part, made)
+
+    def rows(part: pa.RecordBatch, made: list[tuple[int, int, int, np.ndarray, bool]]) -> pa.RecordBatch:
+        n = [len(x) for *_, x, _ in made]
+        each = lambda values: np.repeat(np.array(values, np.int64), n)
+        width = each([x.shape[1] for *_, x, _ in made])
+        s = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(width)).astype(np.int32)), pa.array(np.concatenate([x.reshape(-1) for *_, x, _ in made])))
+        y = np.concatenate([m[2] + np.arange(k) for m, k in zip(made, n)]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(each([m[0] for m in made]))), pa.array(each([m[1] for m in made])), pa.array(y), s, pa.array(each([m[4] for m in made]))], schema.names)
+
+    return s.mapInArrow(work, schema)
 
 
 def decode(packets: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
     """(f, plane, y, s) and (f, status) of packets(f, content) of one configuration. A slice whose bytes are damaged is
     filled with the middle of the range and its frame has status 1; a frame whose structure is broken has no planes."""
-    p = packet.parsed(packets)
-    each = p.filter("status >= 0").select("f", "content", F.posexplode("slices").alias("n", "x")).select("f", "content", F.col("n").cast("bigint").alias("n"), "x.plane", "x.block_y0", "x.block_h", "x.k1", "x.k2", "x.k3", "x.ok", "x.off", "x.size")
-    wide = F.when(F.col("plane") > 0, c.coded(True)[0] // 8).otherwise(c.coded(False)[0] // 8)
-    each = each.withColumn("width", wide).withColumn("id", F.col("f") * packet.MOST_SLICES + F.col("n"))
-    payload = F.when(F.col("ok"), F.expr("substring(content, int(off + 1), int(size))")).otherwise(F.unhex(F.lit("")))
-    every = each.withColumn("payload", payload)
-    each = every.filter("plane < 3")
-    read = coder.rice_decode(each.withColumn("n", (F.col("block_h") * F.col("width")).cast("int")))
-    slices = each.select("id", "f", "plane", "block_y0", "block_h", "width").join(read, "id")
-    whole = F.col("status") == 0
-    # neutral blocks are all zero: half of the range after the inverse
-    none = F.transform(F.sequence(F.lit(1), (F.col("block_h") * F.col("width")).cast("int")), lambda _: F.array_repeat(F.lit(0).cast("bigint"), 64))
-    b = slices.select("f", "plane", "block_y0", "width", F.posexplode(F.when(whole, F.col("blocks")).otherwise(none)).alias("i", "coef"))
-    b = b.select("f", "plane", (F.col("block_y0") + F.floor(F.col("i") / F.col("width"))).cast("bigint").alias("by"), (F.col("i") % F.col("width")).cast("bigint").alias("bx"), "coef")
-    out = None
-    for chroma in (False, True):
-        part = b.filter((F.col("plane") > 0) if chroma else (F.col("plane") == 0))
-        x = block.inverse(block.dequantise(block.unscan(part), c.qp, c.matrix, chroma))
-        mid, most = 1 << (c.depth - 1), F.lit((1 << c.depth) - 1).cast("bigint")
-        x = x.withColumn("coef", F.transform("coef", lambda v: F.least(F.greatest(v + mid, F.lit(0).cast("bigint")), most)))
-        rows = rows_of(x, *c.size(chroma))
-        out = rows if out is None else out.unionByName(rows)
-    bad = slices.groupBy("f").agg(F.max((~whole).cast("int")).alias("bad"))
-    if c.alpha:
-        rows, worse = alpha_rows(every.filter("plane = 3"), c)
-        out, bad = out.unionByName(rows), bad.unionByName(worse).groupBy("f").agg(F.max("bad").alias("bad"))
-    status = p.select("f", "status").join(bad, "f", "left").select("f", F.when(F.col("status") < 0, F.col("status")).otherwise(F.coalesce("bad", F.lit(0))).cast("int").alias("status"))
-    return out, status
-
-
-def rows_of(blocks: DataFrame, w: int, h: int) -> DataFrame:
-    """(f, plane, y, s) of blocks(f, plane, by, bx, coef), cut to w x h."""
-    bands = blocks.groupBy("f", "plane", "by").agg(F.array_sort(F.collect_list(F.struct("bx", "coef"))).alias("x"))
-    row = lambda y: F.struct(y.cast("bigint").alias("y"), F.slice(F.flatten(F.transform("x", lambda b: F.slice(b["coef"], y * 8 + 1, 8))), 1, w).alias("s"))
-    each = bands.select("f", "plane", "by", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), row)).alias("r"))
-    return each.select("f", "plane", (F.col("by") * 8 + F.col("r.y")).alias("y"), "r.s").filter(F.col("y") < h)
+    s = slices_of(packets, c)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in coder.few(batches):
+            columns = zip(*(part.column(i).to_pylist() for i in (1, 2, 4, 5, 6, 7, 8)))
+            out = [min(status, 0) if plane is None else int(slice_samples(c, plane, block_h, ks, payload)[0]) for status, plane, block_h, *ks, payload in columns]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.int32())], ["f", "status"])
+
+    status = s.mapInArrow(work, StructType([s.schema["f"], StructField("status", IntegerType())])).groupBy("f").agg(F.max("status").alias("status"))
+    return decoded(packets, c).drop("bad"), status
 
 
 def sized_qp(scanned: DataFrame, by: list[str], target: Column, books: tuple[list[int], list[int], list[int]], qps: range = range(T.QP_MAX + 1)) -> DataFrame:

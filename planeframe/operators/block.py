@@ -43,6 +43,19 @@ def _rounded(a: np.ndarray) -> np.ndarray:
     return np.where(a >= 0, a + half >> np.int64(32), -(half - a >> np.int64(32)))
 
 
+_M, _W = np.array(T.M, np.int64), np.array([T.weight(u, v) for u in range(8) for v in range(8)], np.int64)
+
+
+def transformed(x: np.ndarray) -> np.ndarray:
+    """The transform of blocks x 64."""
+    return (_M @ x.reshape(-1, 8, 8) @ _M.T).reshape(-1, 64)
+
+
+def restored(x: np.ndarray) -> np.ndarray:
+    """The inverse transform of blocks x 64."""
+    return _rounded((_M.T @ (x * _W).reshape(-1, 8, 8) @ _M).reshape(-1, 64))
+
+
 def level_shift(df: DataFrame, samples: Column, depth: int = 10) -> DataFrame:
     """coef: samples less half of the range."""
     half = 1 << (depth - 1)
@@ -51,14 +64,12 @@ def level_shift(df: DataFrame, samples: Column, depth: int = 10) -> DataFrame:
 
 def forward(df: DataFrame) -> DataFrame:
     """F = M x M^T, exact."""
-    m = np.array(T.M, np.int64)
-    return batched(df, lambda x: (m @ x.reshape(-1, 8, 8) @ m.T).reshape(-1, 64))
+    return batched(df, transformed)
 
 
 def inverse(df: DataFrame) -> DataFrame:
     """M^T (F * W) M, divided by 2^32 with halves away from zero."""
-    m, w = np.array(T.M, np.int64), np.array([T.weight(u, v) for u in range(8) for v in range(8)], np.int64)
-    return batched(df, lambda x: _rounded((m.T @ (x * w).reshape(-1, 8, 8) @ m).reshape(-1, 64)))
+    return batched(df, restored)
 
 
 def _steps(qp: int, matrix: int, chroma: bool, refined: bool) -> Column:

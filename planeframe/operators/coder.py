@@ -63,24 +63,25 @@ def rice_slice(df: DataFrame) -> DataFrame:
 
 
 class Bits:
-    """Reads the bits of a payload, most significant first."""
+    """Reads the bits of a payload, most significant first, from their text: a symbol costs the same wherever it stands."""
 
     def __init__(self, payload: bytes):
-        self.bits = np.unpackbits(np.frombuffer(payload, np.uint8))
-        self.value = int.from_bytes(payload, "big")
         self.size = len(payload) * 8
+        self.text = f"{int.from_bytes(payload, 'big'):0{self.size}b}" if payload else ""
         self.at = 0
 
     def take(self, n: int) -> int:
-        if self.at + n > self.size:
+        lo = self.at
+        if lo + n > self.size:
             raise EOFError
-        self.at += n
-        return (self.value >> (self.size - self.at)) & ((1 << n) - 1)
+        self.at = lo + n
+        return int(self.text[lo : lo + n], 2) if n else 0
 
     def ones(self, most: int) -> int:
         """How many ones stand next, up to `most`; the zero after fewer is read too."""
-        part = self.bits[self.at : self.at + most]
-        n = int(part.argmin()) if len(part) and not part.all() else len(part)
+        end = min(self.at + most, self.size)
+        zero = self.text.find("0", self.at, end)
+        n = (end if zero < 0 else zero) - self.at
         if n < most and self.at + n >= self.size:
             raise EOFError
         self.at += n + (n < most)
@@ -130,18 +131,52 @@ def few(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.Record
             yield batch.slice(lo, rows)
 
 
+def rice_blocks(n: int, width: int, ks: tuple[int, int, int], payload: bytes) -> list[list[int]]:
+    """The n blocks (scan order) of one slice, `width` of them side by side."""
+    bits, most = Bits(payload), {"dc": MOST_DC, "level": MOST_LEVEL, "run": MOST_RUN}
+    k = dict(zip(("dc", "level", "run"), ks))
+    return decoded_blocks(n, width, lambda family: rice_symbol(bits, k[family], most[family]))
+
+
+def rice_payload(coef: np.ndarray, width: int) -> tuple[int, int, int, bytes]:
+    """k1, k2, k3 and payload of one slice's blocks (n x 64, scan order), `width` of them side by side: what rice_slice
+    makes of their tokens, with all symbols of the slice turned into bits at once."""
+    fold = lambda v: np.where(v >= 0, 2 * v, -2 * v - 1)
+    dc = coef[:, 0].reshape(-1, width)
+    pred = np.zeros_like(dc)
+    pred[0, 1:], pred[1:, 0] = dc[0, :-1], dc[:-1, 0]
+    pred[1:, 1:] = dc[1:, :-1] + dc[:-1, 1:] + 1 >> 1
+    dcs = fold(dc - pred).reshape(-1)
+    at, place = np.nonzero(coef[:, 1:])
+    before = np.full(len(at), -1)
+    before[1:] = np.where(at[1:] == at[:-1], place[:-1], -1)
+    runs, levels = place - before - 1, fold(coef[at, place + 1])
+    # the parameters: floor(log2(mean)), 0 to 14
+    k1, k2, k3 = (min(14, max(0, (int(m.sum()) // len(m)).bit_length() - 1)) if len(m) else 0 for m in (dcs, levels, runs))
+    # a block is its DC, run and level of each pair, an end mark
+    pairs = np.bincount(at, minlength=len(coef))
+    start = np.cumsum(2 * pairs + 2) - 2 * pairs - 2
+    symbols, k = np.empty(2 * len(at) + 2 * len(coef), np.int64), np.full(2 * len(at) + 2 * len(coef), k3)
+    symbols[start], k[start] = dcs, k1
+    symbols[start + 2 * pairs + 1] = EOB
+    spot = 2 * np.arange(len(at)) + 2 * at + 1
+    symbols[spot], symbols[spot + 1], k[spot + 1] = runs, levels, k2
+    q = symbols >> k
+    long = q >= ESCAPE
+    size = np.where(long, ESCAPE + 32, q + 1 + k)
+    q = np.minimum(q, ESCAPE)
+    code = np.where(long, ((1 << ESCAPE) - 1 << 32) | symbols & (1 << 32) - 1, ((1 << q) - 1 << k + 1) | symbols & (1 << k) - 1)
+    left = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1  # bits of the symbol after this one
+    return k1, k2, k3, np.packbits((np.repeat(code, size) >> left & 1).astype(np.uint8)).tobytes()
+
+
 def rice_decode(df: DataFrame) -> DataFrame:
     """(id, status, blocks) of df(id, n, width, k1, k2, k3, payload): blocks in scan order; status -10 where the
     payload ends too early, -9 where a value is out of its domain, with no blocks then."""
 
-    def one(n: int, width: int, ks: tuple[int, int, int], payload: bytes) -> list[list[int]]:
-        bits, most = Bits(payload), {"dc": MOST_DC, "level": MOST_LEVEL, "run": MOST_RUN}
-        k = dict(zip(("dc", "level", "run"), ks))
-        return decoded_blocks(n, width, lambda family: rice_symbol(bits, k[family], most[family]))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in few(batches):
-            rows = [_safely(one, n, w, (a, b, c), p) for _, n, w, a, b, c, p in zip(*(x.to_pylist() for x in part.columns))]
+            rows = [safely(rice_blocks, n, w, (a, b, c), p) for _, n, w, a, b, c, p in zip(*(x.to_pylist() for x in part.columns))]
             yield _decoded(part.column(0), rows)
 
     return df.select("id", "n", "width", "k1", "k2", "k3", "payload").mapInArrow(work, DECODED)
@@ -150,7 +185,8 @@ def rice_decode(df: DataFrame) -> DataFrame:
 DECODED = "id bigint, status int, blocks array<array<bigint>>"
 
 
-def _safely(f: Callable, *args) -> tuple[int, list | None]:
+def safely(f: Callable, *args) -> tuple[int, list | None]:
+    """Status and result of f, which reads a payload."""
     try:
         return 0, f(*args)
     except EOFError:
@@ -270,7 +306,7 @@ def vlc_decode(df: DataFrame, dc: list[int], level: list[int], run: list[int]) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in few(batches):
-            yield _decoded(part.column(0), [_safely(one, n, w, p) for _, n, w, p in zip(*(x.to_pylist() for x in part.columns))])
+            yield _decoded(part.column(0), [safely(one, n, w, p) for _, n, w, p in zip(*(x.to_pylist() for x in part.columns))])
 
     return df.select("id", "n", "width", "payload").mapInArrow(work, DECODED)
 
@@ -371,7 +407,7 @@ def rans_symbols(df: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_safely(one, *x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+            rows = [safely(one, *x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.list_(pa.int64()))], ["id", "status", "seq"])
 
     return df.select("id", "n", "freq", "payload").mapInArrow(work, "id bigint, status int, seq array<bigint>")
@@ -473,46 +509,50 @@ def residual_slice(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_k.level").alias("k_level"), F.col("_k.run").alias("k_run"), B.packed(F.col("_bits")).alias("payload")).drop("_p", "_s", "_k", "_bits")
 
 
+def band_residuals(count: int, k_level: int, k_run: int, payload: bytes, most: int = MOST_ALPHA) -> list[int]:
+    """The `count` residuals of one band."""
+    bits, out = Bits(payload), []
+    while len(out) < count:
+        left = count - len(out)
+        run, m = rice_symbol(bits, k_run, left), rice_symbol(bits, k_level, most)
+        if (m == 0) != (run == left):  # zeros up to the end, and only they, have no level
+            raise ValueError("a run beyond the band")
+        out += [0] * run + ([unfold(m)] if m else [])
+    return out
+
+
 def residual_decode(df: DataFrame, most: int = MOST_ALPHA) -> DataFrame:
     """(id, status, residuals) of df(id, count, k_level, k_run, payload)."""
 
-    def one(count: int, k_level: int, k_run: int, payload: bytes) -> list[int]:
-        bits, out = Bits(payload), []
-        while len(out) < count:
-            left = count - len(out)
-            run, m = rice_symbol(bits, k_run, left), rice_symbol(bits, k_level, most)
-            if (m == 0) != (run == left):  # zeros up to the end, and only they, have no level
-                raise ValueError("a run beyond the band")
-            out += [0] * run + ([unfold(m)] if m else [])
-        return out
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_safely(one, *x) for x in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
+            rows = [safely(band_residuals, *x, most) for x in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.list_(pa.int64()))], ["id", "status", "residuals"])
 
     return df.select("id", "count", "k_level", "k_run", "payload").mapInArrow(work, "id bigint, status int, residuals array<bigint>")
 
 
+def med_samples(width: int, r: list[int]) -> list[int]:
+    """The samples of one band from its residuals."""
+    s: list[int] = []
+    for i, v in enumerate(r):
+        left, top = (s[i - 1] if i % width else None), (s[i - width] if i >= width else None)
+        if left is None or top is None:
+            pred = left if left is not None else top if top is not None else 0
+        else:
+            corner, lo, hi = s[i - width - 1], min(left, top), max(left, top)
+            pred = lo if corner >= hi else hi if corner <= lo else left + top - corner
+        s.append(pred + v)
+    return s
+
+
 def med_decode(df: DataFrame) -> DataFrame:
     """(id, samples) of df(id, width, residuals): the samples of a band under the median edge detector, whose
     neighbours are the samples decoded before."""
 
-    def one(width: int, r: list[int]) -> list[int]:
-        s: list[int] = []
-        for i, v in enumerate(r):
-            left, top = (s[i - 1] if i % width else None), (s[i - width] if i >= width else None)
-            if left is None or top is None:
-                pred = left if left is not None else top if top is not None else 0
-            else:
-                corner, lo, hi = s[i - width - 1], min(left, top), max(left, top)
-                pred = lo if corner >= hi else hi if corner <= lo else left + top - corner
-            s.append(pred + v)
-        return s
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [one(w, r) for w, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            out = [med_samples(w, r) for w, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "samples"])
 
     return df.select("id", "width", "residuals").mapInArrow(work, "id bigint, samples array<bigint>")

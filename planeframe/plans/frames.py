@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from planeframe import engine, tables as T
 from planeframe.functions import binary as B
@@ -46,9 +46,10 @@ def codec_damage(spark, sf_dir):
     p = engine.encode(pictures(spark, sf_dir), CODED)
     at = packet.HEADER_SIZE + packet.SLICE_SIZE
     flipped = F.concat(F.substring("content", 1, at), B.to_be(B.be(F.col("content"), at, 1).bitwiseXOR(F.lit(85)), 1), F.expr(f"substring(content, {at + 2}, octet_length(content))"))
-    rows, status = engine.decode(p.withColumn("content", F.when(F.col("f") % 3 == 1, flipped).otherwise(F.col("content"))), CODED)
-    each = cells(rows, "f", "plane").groupBy("f", "plane").agg(F.sum("s").alias("total"), F.sum(F.col("s") * (F.col("y") * 64 + F.col("x") + 1)).alias("weighed"))
-    return each.join(status, "f").select("f", "status", "plane", "total", "weighed")
+    rows = engine.decoded(p.withColumn("content", F.when(F.col("f") % 3 == 1, flipped).otherwise(F.col("content"))), CODED)
+    each = cells(rows, "f", "plane", "bad").groupBy("f", "plane").agg(F.sum("s").alias("total"), F.sum(F.col("s") * (F.col("y") * 64 + F.col("x") + 1)).alias("weighed"), F.max("bad").alias("bad"))
+    status = F.max("bad").over(Window.partitionBy("f")).cast("int").alias("status")
+    return each.select("f", status, "plane", "total", "weighed")
 
 
 PICTURE = engine.Config(W // 2, H, 60, pixel_format=0)
